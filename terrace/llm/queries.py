@@ -30,5 +30,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op7_simhash": op7_simhash}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.mixing import draw, taken_words
+
+    return draw(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.secrets import digest, scan
+
+    return scan(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", *digest())
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets}
 ORACLE_SQL: dict[str, str] = {}
