@@ -24,6 +24,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.fingerprint import edit_probe
+
+    return edit_probe(documents(spark, sf_dir))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.sharding import shard
+
+    return shard(documents(spark, sf_dir), 8)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm.simhash import near_duplicates
 
@@ -42,5 +54,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", *digest())
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets}
 ORACLE_SQL: dict[str, str] = {}
