@@ -5,15 +5,60 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import map_arrow, slices
 
+# The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS_KEPT = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def newer() -> regex.Pattern:
+    """Finds code points that Unicode 3.2 hasn't: of these, two libraries' tables may disagree on what is a letter."""
+    known = [unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs") for c in range(0x110000)]
+    edges = [c for c in range(0x110000) if known[c] != (c > 0 and known[c - 1])] + [0x110000]
+    return regex.compile("[^" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
+class Words(dict):
+    """Ids of pre-tokens as bytes; each is encoded once by the library. Emptied when it holds `most` of them."""
+
+    def __init__(self, tok, most: int = WORDS_KEPT):
+        super().__init__()
+        self.tok, self.most = tok, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
+
+
+def splitting_pattern(spec: dict) -> tuple[regex.Pattern | None, dict | None]:
+    """The pattern whose matches are the pre-tokens, and what is done to each of them; None for a tokenizer that splits in another way."""
+    pre = spec["pre_tokenizer"] or {}
+    steps = pre.get("pretokenizers", [pre])
+    first, rest = steps[0], steps[1:]
+    plain = {"add_prefix_space": False, "use_regex": False}
+    if first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and not rest:
+        pattern, each = BYTE_LEVEL, first | plain
+    elif first.get("type") == "Split" and "Regex" in first["pattern"] and first["behavior"] == "Removed" and first["invert"] and len(rest) == 1 and rest[0].get("type") == "ByteLevel" and plain.items() <= rest[0].items():
+        pattern, each = first["pattern"]["Regex"], rest[0]
+    else:
+        return None, None
+    pattern = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\S", f"[^{SPACE}]").replace("\\s", f"[{SPACE}]")
+    return regex.compile(pattern, regex.V0), each
+
 
 class TreeEncoder:
     """Encodes as `Tokenizer.encode(text, add_special_tokens=False)` does.
@@ -39,15 +84,21 @@ class TreeEncoder:
         self.last = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"]}))
         self.inner = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"] | {"end_of_word_suffix": None}})) if self.suffix else self.last
         self.name = self.last.id_to_token
+        self.pattern, each = splitting_pattern(spec)
+        self.words = Words(Tokenizer.from_str(json.dumps(inner | {"model": spec["model"], "pre_tokenizer": each})))
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if self.long.search(text):
+            return np.array(self.encode(text), "<u4").tobytes()
+        if self.pattern is None or self.added and self.added.search(text) or not text.isascii() and newer().search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.tok.normalizer is not None:
+            text = self.tok.normalizer.normalize_str(text)
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        plain = [i for i, t in enumerate(texts) if not self.long.search(t)]
-        out: list[list[int]] = [[]] * len(texts)
-        for i, e in zip(plain, self.tok.encode_batch([texts[i] for i in plain], add_special_tokens=False)):
-            out[i] = e.ids
-        for i in set(range(len(texts))).difference(plain):
-            out[i] = self.encode(texts[i])
-        return out
+        return [np.frombuffer(self.encode_bytes(t), "<u4").tolist() for t in texts]
 
     def encode(self, text: str) -> list[int]:
         """Any text, pre-token by pre-token."""
@@ -132,10 +183,10 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str] | None, l
             sizes = [len(t) if t else 0 for t in b.column(0).to_pylist()]
             for lo, hi in slices(sizes, BATCH_CHARS):
                 part = b.slice(lo, hi - lo)
-                ids = enc.encode_batch([t or "" for t in part.column(0).to_pylist()])
-                cols = [*part.columns[1:], pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())]
+                ids = [enc.encode_bytes(t or "") for t in part.column(0).to_pylist()]
+                cols = [*part.columns[1:], pa.array(ids, pa.binary())]
                 if both:
-                    cols.append(pa.array(enc.decode_batch(ids), pa.string()))
+                    cols.append(pa.array(enc.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids]), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", *["decoded"] * both])
 
         return f

@@ -33,6 +33,20 @@ def test_tree_encodes_as_the_library(name, leaf):
     assert enc.encode_batch(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", [WORD, "byte_bpe_50k.json"])
+def test_every_code_point_splits_as_in_the_library(name):
+    path = tokenizer_path(name)
+    tok, enc = library(path), bpe.encoder(path)
+    assert enc.pattern is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}{c}! {c} \n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for i in range(0, len(texts), 2000):
+        part = texts[i : i + 2000]
+        want = tok.encode_batch(part, add_special_tokens=False)
+        bad = [j for j, (e, t) in enumerate(zip(want, part)) if e.ids != np.frombuffer(enc.encode_bytes(t), "<u4").tolist()]
+        assert not bad, [hex(ord(c)) for j in bad[:5] for c in points[(i + j) * 64 : (i + j) * 64 + 64] if tok.encode(f"a{c}1{c}{c}! {c} \n", add_special_tokens=False).ids != np.frombuffer(enc.encode_bytes(f"a{c}1{c}{c}! {c} \n"), "<u4").tolist()]
+
+
 def test_long_words_take_the_tree_at_the_production_leaf():
     path, rng = tokenizer_path(WORD), random.Random(3)
     text = "".join(rng.choice("etaoinshrdlu") for _ in range(50_000))
