@@ -54,5 +54,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", *digest())
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.langid import fit, held_out, identify
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs.where(~held_out()))
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_language": op9_language}
 ORACLE_SQL: dict[str, str] = {}
