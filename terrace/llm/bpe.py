@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +21,7 @@ from terrace.llm.common import map_arrow, slices
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -30,22 +32,28 @@ def newer() -> regex.Pattern:
     return regex.compile("[^" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
 
 
+class NewerText(Exception):
+    """A pre-token has a code point that may be split elsewhere by the library."""
+
+
 class Words(dict):
     """Ids of pre-tokens as bytes; each is encoded once by the library. Emptied when it holds `most` of them."""
 
-    def __init__(self, tok, most: int = WORDS_KEPT):
+    def __init__(self, tok, longest: int, most: int = WORDS_KEPT):
         super().__init__()
-        self.tok, self.most = tok, most
+        self.tok, self.longest, self.most = tok, longest, most
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > self.longest or not word.isascii() and newer().search(word):
+            raise NewerText
         if len(self) >= self.most:
             self.clear()
-        self[word] = ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
         return ids
 
 
-def splitting_pattern(spec: dict) -> tuple[regex.Pattern | None, dict | None]:
-    """The pattern whose matches are the pre-tokens, and what is done to each of them; None for a tokenizer that splits in another way."""
+def splitting_pattern(spec: dict) -> tuple[tuple | None, dict | None]:
+    """The pattern whose matches are the pre-tokens (and a plainer one for ASCII), and what is done to each of them; None for a tokenizer that splits in another way."""
     pre = spec["pre_tokenizer"] or {}
     steps = pre.get("pretokenizers", [pre])
     first, rest = steps[0], steps[1:]
@@ -57,7 +65,9 @@ def splitting_pattern(spec: dict) -> tuple[regex.Pattern | None, dict | None]:
     else:
         return None, None
     pattern = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\S", f"[^{SPACE}]").replace("\\s", f"[{SPACE}]")
-    return regex.compile(pattern, regex.V0), each
+    ascii_only = pattern.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace(SPACE, r"\t-\r ")
+    ascii_only = ascii_only.replace("\\p{L}\\p{N}]", "A-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
+    return (regex.compile(pattern, regex.V0), re.compile(ascii_only, re.ASCII)), each
 
 
 class TreeEncoder:
@@ -75,6 +85,8 @@ class TreeEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         spec |= {"truncation": None, "padding": None}
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise NotImplementedError("ids are written as this machine has them: little-endian, 32 bits")
         self.tok, self.leaf = Tokenizer.from_str(json.dumps(spec)), leaf
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -85,17 +97,26 @@ class TreeEncoder:
         self.inner = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"] | {"end_of_word_suffix": None}})) if self.suffix else self.last
         self.name = self.last.id_to_token
         self.pattern, each = splitting_pattern(spec)
-        self.words = Words(Tokenizer.from_str(json.dumps(inner | {"model": spec["model"], "pre_tokenizer": each})))
+        self.words = Words(Tokenizer.from_str(json.dumps(inner | {"model": spec["model"], "pre_tokenizer": each})), leaf)
 
     def encode_bytes(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+        """The ids of a text as little-endian unsigned 32-bit integers.
+
+        Pre-tokens come from the tokenizer's own pattern and are encoded once each; texts where that may differ from the library's splitting
+        (special tokens, code points younger than the tables) and those with a pre-token longer than a leaf take the other ways.
+        """
+        if self.pattern is None or self.added and self.added.search(text):
+            return self._whole(text)
+        plain = self.tok.normalizer.normalize_str(text) if self.tok.normalizer is not None else text
+        try:
+            return b"".join(map(self.words.__getitem__, self.pattern[plain.isascii()].findall(plain)))
+        except NewerText:
+            return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
         if self.long.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        if self.pattern is None or self.added and self.added.search(text) or not text.isascii() and newer().search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.tok.normalizer is not None:
-            text = self.tok.normalizer.normalize_str(text)
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+            return array("I", self.encode(text)).tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(self.encode_bytes(t), "<u4").tolist() for t in texts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,5 +64,34 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_language": op9_language}
-ORACLE_SQL: dict[str, str] = {}
+def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm import store
+    from terrace.llm.common import shared_dir
+
+    out = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    store.write(documents(spark, sf_dir), out, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return store.digests(spark, out)
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.topk import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op5_store": op5_store, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_topk": op10_topk}
+ORACLE_SQL: dict[str, str] = {
+    "op10_topk": """
+        WITH sound AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
