@@ -64,6 +64,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.llm.repeats import deduplicated
+
+    return deduplicated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrace.llm import store
     from terrace.llm.common import shared_dir
@@ -80,7 +86,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op5_store": op5_store, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_fingerprints": op3_fingerprints, "op4_repeats": op4_repeats, "op5_store": op5_store, "op6_sharding": op6_sharding, "op7_simhash": op7_simhash, "op8_secrets": op8_secrets, "op9_language": op9_language, "op10_topk": op10_topk}
 ORACLE_SQL: dict[str, str] = {
     "op10_topk": """
         WITH sound AS (
