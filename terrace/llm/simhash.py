@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -79,3 +81,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = staged(inner.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
     of = staged(classes.join(roots.join(component, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
     return fp.join(of, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+LANES, LANE_BITS = 8, 32
+"""Lanes of a wide fingerprint, and bits of each."""
+
+
+def wide_simhash(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """LANES * LANE_BITS bits as unsigned 64-bit words: one SimHash over as many independent hashes of each distinct word shingle. Words and short texts as in simhash_of."""
+    words = (text or b"").lower().split()
+    rows = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in rows), np.uint64))
+    out = []
+    for k in range(LANES * LANE_BITS // 64):
+        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(x), 1 << 16):
+            ones += np.unpackbits(x[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big"))
+    return np.array(out, np.uint64)
+
+
+def most_bits(similarity: float) -> int:
+    """Bits of a wide fingerprint that differ for two shingle sets of equal size at this Jaccard similarity: the angle between them over pi."""
+    return int(LANES * LANE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, one for each class of near-duplicates: that with the smallest id (null first), then the smallest text hash, then the smallest row.
+
+    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, as the 256 bits of their wide SimHash show it. Candidates are found lane by lane, by
+    meet-in-the-middle ball hashing: lane values that differ in two bits or fewer share a variant. Fingerprints with an equal lane value are compared with the smallest of them, and
+    the smallest ones of values with a common variant with each other in a chain, so no group makes pairs; classes are the components of the links that hold.
+    Copies share a fingerprint. Texts without words are copies of each other. Columns of any name are kept. An empty table gives an empty one.
+    """
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(5)).alias("th")]
+    words = LANES * LANE_BITS // 64
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            got = np.array([wide_simhash(t, shingle) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(got[:, i])) for i in range(words))], names=["id", "th", *(f"f{i}" for i in range(words))])
+
+        return f
+
+    fs = [f"f{i}" for i in range(words)]
+    found = staged(map_arrow(docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id long, th long, " + ", ".join(f"{f} long" for f in fs), make), "neardup-rows")
+    found = found.withColumn("node", F.xxhash64(*fs))
+    classes = staged(found.groupBy("node").agg(*(F.min(f).alias(f) for f in fs), F.min(F.struct("id", "th")).alias("least")), "neardup-classes")
+    full = F.struct("node", *fs)
+    lanes = F.array(*(F.struct(F.lit(2 * i + j).alias("lane"), F.shiftrightunsigned(f, 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for i, f in enumerate(fs) for j in (0, 1)))
+    values = staged(classes.select(F.explode(lanes).alias("l"), full.alias("fp")).select("l.lane", "l.value", "fp"), "neardup-lanes")
+    first = staged(values.groupBy("lane", "value").agg(F.min("fp").alias("first")), "neardup-firsts")
+    star = values.join(first, ["lane", "value"]).where("fp.node != first.node").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    variants = first.select("lane", "first", F.explode(F.expr(f"transform(sequence(-1, {LANE_BITS - 1}), i -> if(i < 0, value, value ^ shiftleft(1L, i)))")).alias("variant"))
+    w = Window.partitionBy("lane", "variant").orderBy("first.node")
+    chain = variants.select(F.lag("first").over(w).alias("a"), F.col("first").alias("b")).where("a is not null and a.node != b.node")
+    differ = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in fs), F.lit(0))
+    links = star.union(chain).where(differ <= most_bits(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    roots = components(links)
+    keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
+    row = docs.select(*key, F.struct(*docs.columns).alias("row"))
+    kept = row.join(keeper, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))
+    return kept.select("row.*")

@@ -1,0 +1,81 @@
+import random
+
+import corpus_pipeline
+from terrace.llm import simhash
+from tests.llm.data import frame
+
+
+def jaccard(a, b, n=5):
+    sa, sb = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(sa & sb) / len(sa | sb)
+
+
+def near_corpus():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = [" ".join(word() for _ in range(rng.randrange(80, 300))) for _ in range(40)]
+    clean = len(texts)
+    for i in range(20):
+        w = texts[i].split()
+        for _ in range(2):
+            w[rng.randrange(len(w))] = "edit"
+        texts.append(" ".join(w))
+    texts += texts[20:30]
+    return texts, clean
+
+
+def test_near_duplicates_keep_one_of_each_group(spark):
+    texts, clean = near_corpus()
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()}
+    assert set(range(clean)) <= kept
+    close = [i for i in range(20) if jaccard(texts[i], texts[clean + i]) >= 0.87]
+    assert sum(clean + i not in kept for i in close) >= 0.9 * len(close)
+    assert not kept & set(range(clean + 20, len(texts)))
+
+
+def test_near_duplicates_of_awkward_rows(spark):
+    df = frame(spark, [None, "", "a", "a", "b"], ids=[3, 2, 7, 7, 9])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df.union(df)).collect()) == [(2, ""), (7, "a"), (9, "b")]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one(df).columns == df.columns
+
+
+def test_distance_follows_similarity():
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(800)]
+    other = list(words)
+    for i in range(0, 800, 50):
+        other[i] = "x"
+    a, b = (simhash.wide_simhash(" ".join(w).encode()) for w in (words, other))
+    bits = sum(int(x).bit_count() for x in a ^ b)
+    j = jaccard(" ".join(words), " ".join(other))
+    assert abs(bits - simhash.most_bits(j)) < 20 and simhash.most_bits(0.8) == 38 and simhash.most_bits(1.0) == 0
+
+
+def test_stages_and_run(spark):
+    from pyspark.sql import functions as F
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts, secret = [docs.count()], "password=hunter2222"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).toPandas(), docs.schema)
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        counts.append(docs.count())
+        if name == "near_duplicates":
+            assert docs.select("text").distinct().count() == counts[-1]
+            docs = docs.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" " + secret))).otherwise(F.col("text")))
+        if name == "secrets":
+            assert before.where(F.col("text").contains(secret)).count() > 0 and docs.where(F.col("text").contains(secret)).count() == 0
+    assert counts[0] * 0.95 <= counts[1] and counts[2] == counts[3] < counts[1] and counts[4] > 0
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_run_matches_the_stages(spark, sf_dir):
+    one = corpus_pipeline.run(spark, sf_dir).toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    two = docs.toPandas().sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+    assert one.equals(two) and len(one) > 0
