@@ -8,11 +8,11 @@ import re
 import sys
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +24,22 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS_KEPT = 1 << 19
 
 
+def ranges(wanted: Callable[[str], bool]) -> str:
+    """The code points of Unicode 3.2 (assigned, no surrogates) that are wanted, as ranges of a character class."""
+    on = [unicodedata.ucd_3_2_0.category(c := chr(i)) not in ("Cn", "Cs") and wanted(c) for i in range(0x110000)]
+    edges = [i for i in range(0x110000) if on[i] != (i > 0 and on[i - 1])] + [0x110000]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2]))
+
+
 @lru_cache(maxsize=1)
-def newer() -> regex.Pattern:
+def letters_numbers() -> tuple[str, str]:
+    return ranges(lambda c: unicodedata.category(c)[0] == "L"), ranges(lambda c: unicodedata.category(c)[0] == "N")
+
+
+@lru_cache(maxsize=1)
+def newer() -> re.Pattern:
     """Finds code points that Unicode 3.2 hasn't: of these, two libraries' tables may disagree on what is a letter."""
-    known = [unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs") for c in range(0x110000)]
-    edges = [c for c in range(0x110000) if known[c] != (c > 0 and known[c - 1])] + [0x110000]
-    return regex.compile("[^" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+    return re.compile("[^" + ranges(lambda c: True) + "]")
 
 
 class NewerText(Exception):
@@ -39,35 +49,43 @@ class NewerText(Exception):
 class Words(dict):
     """Ids of pre-tokens as bytes; each is encoded once by the library. Emptied when it holds `most` of them."""
 
-    def __init__(self, tok, longest: int, most: int = WORDS_KEPT):
+    def __init__(self, model, longest: int, most: int = WORDS_KEPT):
         super().__init__()
-        self.tok, self.longest, self.most = tok, longest, most
+        self.model, self.longest, self.most, self.letters = model, longest, most, byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > self.longest or not word.isascii() and newer().search(word):
             raise NewerText
         if len(self) >= self.most:
             self.clear()
-        self[word] = ids = array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        symbols = word.encode().decode("latin-1").translate(self.letters)
+        self[word] = ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         return ids
 
 
-def splitting_pattern(spec: dict) -> tuple[tuple | None, dict | None]:
-    """The pattern whose matches are the pre-tokens (and a plainer one for ASCII), and what is done to each of them; None for a tokenizer that splits in another way."""
+def splitting_pattern(spec: dict) -> tuple[re.Pattern, re.Pattern] | None:
+    """The patterns (of any text, of ASCII) whose matches are the byte-level pre-tokens; None for a tokenizer that splits in another way."""
     pre = spec["pre_tokenizer"] or {}
     steps = pre.get("pretokenizers", [pre])
     first, rest = steps[0], steps[1:]
-    plain = {"add_prefix_space": False, "use_regex": False}
     if first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and not rest:
-        pattern, each = BYTE_LEVEL, first | plain
-    elif first.get("type") == "Split" and "Regex" in first["pattern"] and first["behavior"] == "Removed" and first["invert"] and len(rest) == 1 and rest[0].get("type") == "ByteLevel" and plain.items() <= rest[0].items():
-        pattern, each = first["pattern"]["Regex"], rest[0]
+        pattern = BYTE_LEVEL
+    elif first.get("type") == "Split" and "Regex" in first["pattern"] and first["behavior"] == "Removed" and first["invert"] and len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not (rest[0]["use_regex"] or rest[0]["add_prefix_space"]):
+        pattern = first["pattern"]["Regex"]
     else:
-        return None, None
-    pattern = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\S", f"[^{SPACE}]").replace("\\s", f"[{SPACE}]")
-    ascii_only = pattern.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace(SPACE, r"\t-\r ")
-    ascii_only = ascii_only.replace("\\p{L}\\p{N}]", "A-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
-    return (regex.compile(pattern, regex.V0), re.compile(ascii_only, re.ASCII)), each
+        return None
+    found = []
+    for space, (letter, number) in ((SPACE, letters_numbers()), (r"\t-\r ", ("A-Za-z", "0-9"))):
+        p = pattern.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
+        p = p.replace("[^\\s\\p{L}\\p{N}]", f"[^{space}{letter}{number}]").replace("\\p{L}", f"[{letter}]").replace("\\p{N}", f"[{number}]")
+        found.append(re.compile(p.replace("\\S", f"[^{space}]").replace("\\s", f"[{space}]")))
+    return found[0], found[1]
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible Latin-1, else the next one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in visible)}
 
 
 class TreeEncoder:
@@ -96,8 +114,8 @@ class TreeEncoder:
         self.last = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"]}))
         self.inner = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"] | {"end_of_word_suffix": None}})) if self.suffix else self.last
         self.name = self.last.id_to_token
-        self.pattern, each = splitting_pattern(spec)
-        self.words = Words(Tokenizer.from_str(json.dumps(inner | {"model": spec["model"], "pre_tokenizer": each})), leaf)
+        self.pattern = splitting_pattern(spec)
+        self.words = Words(self.last.model, leaf)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers.

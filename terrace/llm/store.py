@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.bpe import encoder
-from terrace.llm.common import bucket_offsets, map_arrow
+from terrace.llm.common import bucket_offsets, map_arrow, slices
 
-WINDOW, LEAST, CUT_BITS, MOST = 8, 64, 8, 2048
+WINDOW, LEAST, CUT_BITS, MOST = 4, 64, 8, 2048
 """Ids that the rolling hash sees; ids in a chunk at least; a place is a cut if so many bits of its hash are 0; ids in a chunk at most."""
 ROLL = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], np.uint64)
 BATCH_CHARS = 1 << 20
@@ -22,23 +22,25 @@ SEEN = 1 << 18
 """Digests that a task remembers, so as not to send a chunk again."""
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last WINDOW ids says so, LEAST to MOST ids apart. A change moves only nearby cuts."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def rolling(ids: np.ndarray) -> np.ndarray:
+    """Places (ends) whose last WINDOW ids hash to a cut, over a whole array of streams: a stream's first LEAST ids are never looked at, so its neighbours don't matter."""
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
-    h = np.zeros(n - WINDOW + 1, np.uint64)
+    m = max(0, len(ids) - WINDOW + 1)
+    h = np.zeros(m, np.uint64)
     for j in range(WINDOW):
-        h += x[j : n - WINDOW + 1 + j] * ROLL[WINDOW - 1 - j]
-    found = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW
-    out, at = [], 0
-    for c in [*found.tolist(), n]:
+        h += x[j : m + j] * ROLL[WINDOW - 1 - j]
+    return np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW
+
+
+def cuts(found: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream from begin to end: LEAST to MOST ids apart where the rolling hash says so (found: its places inside). A change moves only nearby cuts."""
+    out, at = [], begin
+    for c in (*found, end):
         while c - at > MOST:
             at += MOST
             out.append(at)
-        if c - at >= LEAST or c == n and c > at:
+        if c - at >= LEAST or c == end and c > at:
             out.append(c)
             at = c
     return out
@@ -61,33 +63,33 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
     """Rows of two kinds: chunk (key: SHA-256 of body; body: n ids, 2 bytes each) and recipe (key: unlike any other; body: key and count of each chunk in order; n ids; root)."""
 
     def make():
-        enc = encoder(path)
+        enc, end = encoder(path), end_id.to_bytes(4, "little")
         seen: set[bytes] = set()
 
         def f(b: pa.RecordBatch):
             ids, rid, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            rows: list[tuple] = []
-            size = 0
-            for doc_id, r, text in zip(ids, rid, texts):
-                stream = np.append(np.frombuffer(enc.encode_bytes(text or ""), "<u4"), np.uint32(end_id))
-                data, at, recipe, keys = stream.astype("<u2").tobytes(), 0, [], []
-                for c in cuts(stream):
-                    body = data[2 * at : 2 * c]
-                    key = hashlib.sha256(body).digest()
-                    recipe.append(key + (c - at).to_bytes(4, "little"))
-                    keys.append(key)
-                    if key not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(key)
-                        rows.append(("chunk", key, body, c - at, None, None))
-                        size += len(body)
-                    at = c
-                rows.append(("recipe", b"recipe" + r.to_bytes(8, "little"), b"".join(recipe), len(stream), doc_id, merkle(keys)))
-                if size > BATCH_CHARS:
-                    yield out(rows)
-                    rows, size = [], 0
-            if rows:
+            for lo, hi in slices([len(t) if t else 0 for t in texts], BATCH_CHARS):
+                streams = [enc.encode_bytes(t or "") + end for t in texts[lo:hi]]
+                stream = np.frombuffer(b"".join(streams), "<u4")
+                data, places = stream.astype("<u2").tobytes(), rolling(stream)
+                ends = np.cumsum([len(s) // 4 for s in streams])
+                inside = np.searchsorted(places, ends, "left").tolist()
+                places, rows, at, k = places.tolist(), [], 0, 0
+                for doc_id, r, e, last in zip(ids[lo:hi], rid[lo:hi], ends.tolist(), inside):
+                    recipe, keys, begin = [], [], at
+                    for c in cuts(places[k:last], at, e):
+                        body = data[2 * at : 2 * c]
+                        key = hashlib.sha256(body).digest()
+                        recipe.append(key + (c - at).to_bytes(4, "little"))
+                        keys.append(key)
+                        if key not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(key)
+                            rows.append(("chunk", key, body, c - at, None, None))
+                        at = c
+                    k = last
+                    rows.append(("recipe", b"recipe" + r.to_bytes(8, "little"), b"".join(recipe), e - begin, doc_id, merkle(keys)))
                 yield out(rows)
 
         def out(rows):
@@ -194,18 +196,23 @@ def _zeros(n: int) -> tuple[int, ...]:
     return out
 
 
-def crc32_joined(parts: list[tuple[int, int]]) -> int:
-    """The crc32 of a concatenation from (crc32, bytes) of its parts."""
-    crc = 0
-    for c, n in parts:
-        moved, m = 0, _zeros(n)
-        i = 0
-        while crc:
-            if crc & 1:
-                moved ^= m[i]
-            crc, i = crc >> 1, i + 1
-        crc = moved ^ c
-    return crc
+def crc32_joined(crcs: np.ndarray, sizes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The crc32 of each concatenation of parts: crcs and sizes (bytes) of all parts, of which group i has those from begin[i] to end[i].
+
+    All groups take their next part together; the crc32 so far moves on by the part's size as by zero bytes.
+    """
+    lengths, which = np.unique(sizes, return_inverse=True)
+    moves = np.array([_zeros(int(n)) for n in lengths], np.uint32).reshape(len(lengths), 32)
+    out = np.zeros(len(begin), np.uint32)
+    for step in range(int((end - begin).max(initial=0))):
+        on = np.flatnonzero(begin + step < end)
+        part = begin[on] + step
+        crc, m = out[on], moves[which[part]]
+        moved = crcs[part].astype(np.uint32)
+        for bit in range(32):
+            moved ^= np.where(crc >> np.uint32(bit) & np.uint32(1), m[:, bit], np.uint32(0))
+        out[on] = moved
+    return out
 
 
 def digests(spark: SparkSession, out: str) -> DataFrame:
@@ -233,11 +240,16 @@ def digests(spark: SparkSession, out: str) -> DataFrame:
 
     def compose():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = []
-            for n, parts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if any(p["crc"] is None for p in parts or []) or sum(p["len"] for p in parts or []) != n:
-                    raise ValueError("a chunk is missing, or a document has another length than its recipe says")
-                found.append(crc32_joined([(p["crc"], 4 * p["len"]) for p in parts or []]))
+            parts, n = b.column(3), b.column(2).to_numpy()
+            flat, ends = parts.flatten(), np.cumsum(np.nan_to_num(parts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            begin = ends - np.diff(ends, prepend=0)
+            crc, size = flat.field("crc"), flat.field("len")
+            if crc.null_count:
+                raise ValueError("a chunk is missing")
+            size = size.to_numpy().astype(np.int64)
+            if (np.diff(np.append(0, np.cumsum(size))[np.append(0, ends)]) != n).any():
+                raise ValueError("a document has another length than its recipe says")
+            found = crc32_joined(crc.to_numpy(), 4 * size, begin, ends).astype(np.int64)
             return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
         return f

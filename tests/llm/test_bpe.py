@@ -47,6 +47,15 @@ def test_every_code_point_splits_as_in_the_library(name):
         assert not bad, [hex(ord(c)) for j in bad[:5] for c in points[(i + j) * 64 : (i + j) * 64 + 64] if tok.encode(f"a{c}1{c}{c}! {c} \n", add_special_tokens=False).ids != np.frombuffer(enc.encode_bytes(f"a{c}1{c}{c}! {c} \n"), "<u4").tolist()]
 
 
+@pytest.mark.parametrize("name", [WORD, "byte_bpe_50k.json"])
+def test_white_space_of_all_kinds(name):
+    path, rng = tokenizer_path(name), random.Random(7)
+    tok, enc = library(path), bpe.encoder(path)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "It's", "é", "1", "!", " ", " ", "  ", "\n", "\t ", "\u2003", "\xa0", "\x1c", "'s", "'"]) for _ in range(rng.randrange(12)))
+        assert np.frombuffer(enc.encode_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_long_words_take_the_tree_at_the_production_leaf():
     path, rng = tokenizer_path(WORD), random.Random(3)
     text = "".join(rng.choice("etaoinshrdlu") for _ in range(50_000))

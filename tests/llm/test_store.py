@@ -25,24 +25,31 @@ def expected(rows):
     return out
 
 
+def cuts(ids):
+    return store.cuts(store.rolling(ids).tolist(), 0, len(ids))
+
+
 def test_cuts_are_stable_and_bounded():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype(np.uint32)
-    a = store.cuts(ids)
+    a = cuts(ids)
     assert a[-1] == len(ids) and all(0 < y - x <= store.MOST for x, y in zip([0, *a], a))
     assert all(y - x >= store.LEAST for x, y in zip([0, *a], a[:-1]))
-    b = store.cuts(np.concatenate((rng.integers(0, 50_000, 7).astype(np.uint32), ids)))
+    b = cuts(np.concatenate((rng.integers(0, 50_000, 7).astype(np.uint32), ids)))
     assert len({c - 7 for c in b} & set(a)) > 0.8 * len(a)
     for n in (0, 1, 63, 64, 65, 3000):
-        c = store.cuts(np.zeros(n, np.uint32))
+        c = cuts(np.zeros(n, np.uint32))
         assert (c[-1] if c else 0) == n and all(y - x <= store.MOST for x, y in zip([0, *c], c))
 
 
 def test_crc32_of_joined_parts():
     rng = random.Random(2)
-    for _ in range(50):
-        parts = [rng.randbytes(rng.choice([0, 1, 4, 255, 1000, 8192])) for _ in range(rng.randrange(0, 6))]
-        assert store.crc32_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+    groups = [[rng.randbytes(rng.choice([0, 1, 4, 255, 1000, 8192])) for _ in range(rng.randrange(0, 6))] for _ in range(50)]
+    flat = [p for g in groups for p in g]
+    ends = np.cumsum([len(g) for g in groups])
+    begin = ends - [len(g) for g in groups]
+    got = store.crc32_joined(np.array([zlib.crc32(p) for p in flat]), np.array([len(p) for p in flat]), begin, ends)
+    assert got.tolist() == [zlib.crc32(b"".join(g)) for g in groups]
 
 
 def test_merkle_root_changes_with_any_leaf():
