@@ -117,9 +117,12 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts count as empty. Rows with equal ids follow each other by the hash of their text. Extra columns are ignored. An empty table gives an empty one.
     """
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    both = with_next(fingerprints(own), "id", "tie", ["text", "anchors"])
+    packed = own.withColumn("anchors", sketch(units(F.col("text")))).select("id", "text", "tie", F.transform("anchors", lambda x: x["h"]).alias("h"), F.transform("anchors", lambda x: x["pos"]).alias("pos"))
+    both = with_next(packed, "id", "tie", ["text", "h", "pos"])  # plain arrays: half the bytes of structs in the shuffle
+    anchors = lambda h, pos: F.zip_with(h, pos, lambda a, b: F.struct(a.alias("h"), b.alias("pos")))
+    both = both.withColumn("anchors", anchors(F.col("h"), F.col("pos"))).withColumn("next_anchors", anchors(F.col("next.h"), F.col("next.pos")))
     both = both.withColumn("edited", edited(F.col("text"), F.col("next.text"))).withColumn("edited_anchors", sketch(units(F.col("edited"))))
     return both.select(
-        F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next.anchors")).alias("near_next"),
+        F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
