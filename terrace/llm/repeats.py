@@ -14,9 +14,9 @@ from terrace.llm.common import map_arrow, staged, unstage
 LENGTH = 200
 GRAM = 32
 """Bytes of an anchor. A window of LENGTH bytes holds LENGTH - GRAM + 1 grams; its anchor is the one with the smallest hash."""
-SLICE = 1 << 21
+SLICE = 1 << 18
 """Bytes that are scanned at once; longer texts are scanned in overlapping slices."""
-PLACE_BITS = 22
+PLACE_BITS = 20
 CROWD = 256
 """Different surroundings of one anchor from which on its windows are dealt out by their own hashes instead of meeting in one task."""
 BUCKET_BYTES = 1 << 19
