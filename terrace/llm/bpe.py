@@ -21,7 +21,8 @@ from terrace.llm.common import map_arrow, slices
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 20
+"""Pre-tokens whose ids a worker remembers, 200 MB or so."""
 
 
 def ranges(wanted: Callable[[str], bool]) -> str:

@@ -16,7 +16,9 @@ from terrace.llm.common import bucket_offsets, map_arrow, slices
 
 WINDOW, LEAST, CUT_BITS, MOST = 4, 64, 8, 2048
 """Ids that the rolling hash sees; ids in a chunk at least; a place is a cut if so many bits of its hash are 0; ids in a chunk at most."""
-ROLL = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], np.uint64)
+MIXED = (np.arange(1 << 16, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+MIXED ^= MIXED >> np.uint32(15)
+ROLL = [np.uint32(pow(0x9E3779B1, i, 1 << 32)) for i in range(WINDOW)]
 BATCH_CHARS = 1 << 20
 SEEN = 1 << 18
 """Digests that a task remembers, so as not to send a chunk again."""
@@ -24,13 +26,12 @@ SEEN = 1 << 18
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """Places (ends) whose last WINDOW ids hash to a cut, over a whole array of streams: a stream's first LEAST ids are never looked at, so its neighbours don't matter."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    x = MIXED[ids]
     m = max(0, len(ids) - WINDOW + 1)
-    h = np.zeros(m, np.uint64)
+    h = np.zeros(m, np.uint32)
     for j in range(WINDOW):
         h += x[j : m + j] * ROLL[WINDOW - 1 - j]
-    return np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW
+    return np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + WINDOW
 
 
 def cuts(found: list[int], begin: int, end: int) -> list[int]:
@@ -47,10 +48,13 @@ def cuts(found: list[int], begin: int, end: int) -> list[int]:
 
 
 def merkle(digests: list[bytes]) -> bytes:
-    """The root of a binary Merkle tree: leaves are hashed with a 0 before them, pairs with a 1; an odd one goes up as it is; none: the hash of nothing."""
+    """The root of a binary Merkle tree over SHA-256 digests: pairs are hashed with a 1 before them, an odd one goes up as it is; none: the hash of nothing.
+
+    A chunk has an even number of bytes and a pair with its 1 an odd one, so neither passes for the other.
+    """
     if not digests:
         return hashlib.sha256(b"").digest()
-    row = [hashlib.sha256(b"\0" + d).digest() for d in digests]
+    row = digests
     while len(row) > 1:
         row = [hashlib.sha256(b"\1" + row[i] + row[i + 1]).digest() if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
     return row[0]
