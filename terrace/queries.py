@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import hashing, metrics
@@ -36,20 +36,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-REG = F.expr("0.4 * l_quantity / 50 + CASE WHEN l_tax > 0.04 THEN 6 * l_discount ELSE 0 END")
-AND = F.expr("CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN 1.0 ELSE 0.0 END").cast("double")
+
+
+def reg() -> Column:
+    """A target between 0 and 1 that depends on quantity, tax and discount."""
+    return F.expr("0.4 * l_quantity / 50 + CASE WHEN l_tax > 0.04 THEN 6 * l_discount ELSE 0 END")
+
+
+def both() -> Column:
+    """A target that is 1 for large quantities with a large discount."""
+    return F.expr("CASE WHEN l_quantity > 25 AND l_discount > 0.05 THEN 1.0 ELSE 0.0 END").cast("double")
+
+
 CUTS = {"l_quantity": [5.0, 10, 15, 20, 25, 30, 35, 40, 45], "l_discount": [0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09], "l_tax": [0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07], "l_linenumber": [1.0, 2, 3, 4, 5, 6]}
 BINS = 10
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with the derived targets and bins by fixed cuts."""
-    df = table(spark, sf_dir, "lineitem").withColumn("y", REG).withColumn("c", AND)
+    df = table(spark, sf_dir, "lineitem").withColumn("y", reg()).withColumn("c", both())
     return df.select("*", *(binning.bin_of(F.col(c).cast("double"), CUTS[c]).alias(f"b{i}") for i, c in enumerate(FEATURES)))
 
 
 def numbered(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    return with_row_id(table(spark, sf_dir, "lineitem").withColumn("y", REG).withColumn("c", AND).select(*dict.fromkeys([*KEYS, *columns])), KEYS)
+    return with_row_id(table(spark, sf_dir, "lineitem").withColumn("y", reg()).withColumn("c", both()).select(*dict.fromkeys([*KEYS, *columns])), KEYS)
 
 
 # --- the same pieces in SQL -------------------------------------------------------------------------------------------------
@@ -79,13 +89,13 @@ def sql_gains(cells: str, extra: str = "", ok: str = "hl >= 0.001 AND ht - hl >=
 # --- base scores, cuts, bins ------------------------------------------------------------------------------------------------
 @query(f"SELECT round(least(greatest(avg(({SQL_REG})::DOUBLE), 1e-6), 1 - 1e-6), 9) AS base FROM lineitem")
 def q_base_score_l2(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(objective.clamped_mean(REG), 9).alias("base"))
+    return table(spark, d, "lineitem").agg(F.round(objective.clamped_mean(reg()), 9).alias("base"))
 
 
 @query(f"SELECT round(ln(m / (1 - m)), 9) AS base FROM (SELECT least(greatest(avg({SQL_AND}), 1e-6), 1 - 1e-6) AS m FROM lineitem)")
 def q_base_score_logit(spark, d):
     m = F.col("m")
-    return table(spark, d, "lineitem").agg(objective.clamped_mean(AND).alias("m")).select(F.round(F.ln(m / (1 - m)), 9).alias("base"))
+    return table(spark, d, "lineitem").agg(objective.clamped_mean(both()).alias("m")).select(F.round(F.ln(m / (1 - m)), 9).alias("base"))
 
 
 @query(f"WITH {SQL_ROWS} SELECT row_id, l_orderkey, l_linenumber, l_partkey FROM nr WHERE row_id % greatest((SELECT count(*) FROM lineitem) // 20000, 1) = 0")
@@ -136,13 +146,13 @@ MARGIN = "(l_quantity - 25) / 20 + 10 * (l_discount - 0.05)"
 
 @query(f"SELECT {', '.join(KEYS)}, round(0.5 - ({SQL_REG})::DOUBLE, 9) AS g, 1.0::DOUBLE AS h FROM lineitem")
 def q_grad_l2(spark, d):
-    return table(spark, d, "lineitem").select(*KEYS, F.round(objective.gradient(REG, F.lit(0.5), "l2"), 9).alias("g"), objective.hessian(F.lit(0.5), "l2").alias("h"))
+    return table(spark, d, "lineitem").select(*KEYS, F.round(objective.gradient(reg(), F.lit(0.5), "l2"), 9).alias("g"), objective.hessian(F.lit(0.5), "l2").alias("h"))
 
 
 @query(f"WITH p AS (SELECT *, {SQL_AND} AS c, 1 / (1 + exp(-({MARGIN})::DOUBLE)) AS p FROM lineitem) SELECT {', '.join(KEYS)}, round(p - c, 9) AS g, round(greatest(p * (1 - p), 1e-6), 9) AS h FROM p")
 def q_grad_logistic(spark, d):
     m = F.expr(MARGIN)
-    return table(spark, d, "lineitem").select(*KEYS, F.round(objective.gradient(AND, m, "logistic"), 9).alias("g"), F.round(objective.hessian(m, "logistic"), 9).alias("h"))
+    return table(spark, d, "lineitem").select(*KEYS, F.round(objective.gradient(both(), m, "logistic"), 9).alias("g"), F.round(objective.hessian(m, "logistic"), 9).alias("h"))
 
 
 # --- histograms -------------------------------------------------------------------------------------------------------------
@@ -152,12 +162,11 @@ def graded(spark, d, node: str = "0") -> DataFrame:
 
 SQL_GRADED = SQL_ITEMS + ", gr AS (SELECT *, 0.5 - y AS g, 1.0::DOUBLE AS h FROM li)"
 CHILD = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
-ROUNDED = [F.round("g", 6).alias("g"), F.round("h", 6).alias("h")]
 BIN_NAMES = [f"b{i}" for i in range(4)]
 
 
 def cells_out(df: DataFrame) -> DataFrame:
-    return df.select(F.col("node").cast("int").alias("node"), F.col("f").cast("int").alias("f"), F.col("b").cast("long").alias("b"), *ROUNDED, "n")
+    return df.select(F.col("node").cast("int").alias("node"), F.col("f").cast("int").alias("f"), F.col("b").cast("long").alias("b"), F.round("g", 6).alias("g"), F.round("h", 6).alias("h"), "n")
 
 
 @query(f"WITH {SQL_GRADED} SELECT node, f, b, round(g, 6) AS g, round(h, 6) AS h, n FROM ({sql_cells('gr', '0')})")
@@ -360,7 +369,7 @@ def q_predict_proba(spark, d):
 
 @query(f"WITH s AS (SELECT ({SQL_REG})::DOUBLE AS y, 0.1 + {sql_forest('leaf')} AS score, sqrt({sql_forest('variance')}) AS sigma FROM lineitem) SELECT round(avg(sigma), 9) AS mean_sigma, round(avg(CASE WHEN abs(score - y) <= 1.96 * sigma THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS coverage FROM s")
 def q_predict_interval(spark, d):
-    out = forest().predict_interval(table(spark, d, "lineitem").withColumn("y", REG))
+    out = forest().predict_interval(table(spark, d, "lineitem").withColumn("y", reg()))
     return out.agg(F.round(F.avg("sigma"), 9).alias("mean_sigma"), F.round(metrics.coverage_of(F.col("y"), F.col("score"), F.col("sigma")), 9).alias("coverage"))
 
 
@@ -373,7 +382,7 @@ def q_split_apply(spark, d):
 # --- target encoding --------------------------------------------------------------------------------------------------------
 @query(f"WITH {SQL_ROWS} SELECT l_suppkey AS key, round((sum(y) + 10 * (SELECT avg(y) FROM nr)) / (count(*) + 10), 9) AS value FROM nr GROUP BY 1")
 def q_target_encode_full(spark, d):
-    df = table(spark, d, "lineitem").withColumn("y", REG)
+    df = table(spark, d, "lineitem").withColumn("y", reg())
     return encoding.TargetEncoder.fit(df, ["l_suppkey"], "y").table.select("key", F.round("value", 9).alias("value"))
 
 
@@ -390,7 +399,7 @@ def q_target_encode_oof(spark, d):
     WITH {SQL_ROWS}, e AS (SELECT l_linenumber AS key, (sum(y) + 10 * (SELECT avg(y) FROM nr)) / (count(*) + 10) AS value FROM nr WHERE l_linenumber <= 4 GROUP BY 1)
     SELECT l_linenumber AS line, round(coalesce(any_value(e.value), (SELECT avg(y) FROM nr)), 9) AS encoded, count(*) AS n FROM nr LEFT JOIN e ON e.key = l_linenumber GROUP BY 1""")
 def q_target_encode_unseen(spark, d):
-    df = table(spark, d, "lineitem").withColumn("y", REG)
+    df = table(spark, d, "lineitem").withColumn("y", reg())
     mean = df.agg(F.avg("y")).first()[0]
     encoder = encoding.TargetEncoder.fit(df.where("l_linenumber <= 4"), ["l_linenumber"], "y", mean=mean)
     return encoder.transform(df.select("l_linenumber", F.col("l_linenumber").alias("line"))).groupBy("line").agg(F.round(F.first("l_linenumber"), 9).alias("encoded"), F.count("*").alias("n"))
@@ -411,7 +420,7 @@ def sql_hash32(x: str, seed: int) -> str:
     WITH {SQL_ROWS}, k AS (SELECT y, {sql_hash32('l_partkey', 0)} % 16 AS key FROM nr)
     SELECT key, round((sum(y) + 10 * (SELECT avg(y) FROM nr)) / (count(*) + 10), 9) AS value FROM k GROUP BY 1""")
 def q_target_encode_hashed(spark, d):
-    df = table(spark, d, "lineitem").withColumn("y", REG)
+    df = table(spark, d, "lineitem").withColumn("y", reg())
     return encoding.TargetEncoder.fit(df, ["l_partkey"], "y", buckets=16).table.select("key", F.round("value", 9).alias("value"))
 
 
@@ -463,7 +472,7 @@ SCORED = f"WITH s AS (SELECT {SQL_AND} AS c, ({SQL_REG})::DOUBLE AS y, ({MARGIN}
 
 
 def scored(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").select(AND.alias("c"), REG.alias("y"), F.expr(MARGIN).alias("score"), (F.col("l_quantity") / 50).alias("pred"))
+    return table(spark, d, "lineitem").select(both().alias("c"), reg().alias("y"), F.expr(MARGIN).alias("score"), (F.col("l_quantity") / 50).alias("pred"))
 
 
 @query(SCORED + """, r AS (SELECT c, rank() OVER (ORDER BY round(score, 9)) + (count(*) OVER (PARTITION BY round(score, 9)) - 1) / 2.0::DOUBLE AS r FROM s)
@@ -523,7 +532,7 @@ def q_row_id(spark, d):
 @query()
 def q_train_l2(spark, d):
     """A depth-4 forest on the derived target: tree, level, feature, threshold, gain."""
-    df = table(spark, d, "lineitem").withColumn("y", REG)
+    df = table(spark, d, "lineitem").withColumn("y", reg())
     return Trainer(Params(n_trees=3, depth=4, n_bins=64, objective="l2"), FEATURES, "y", order_by=KEYS).fit(df).splits(spark)
 
 
