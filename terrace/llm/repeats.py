@@ -17,8 +17,8 @@ GRAM = 32
 SLICE = 1 << 18
 """Bytes that are scanned at once; longer texts are scanned in overlapping slices."""
 PLACE_BITS = 20
-CROWD = 256
-"""Different surroundings of one anchor from which on its windows are dealt out by their own hashes instead of meeting in one task."""
+CROWD = 4096
+"""Different surroundings of one anchor (1.5 MB at most) up to which they meet in one task; beyond, its windows are dealt out by their own hashes."""
 BUCKET_BYTES = 1 << 19
 
 _rng = np.random.default_rng(4)
