@@ -1,47 +1,20 @@
-"""What several corpus operators share: staged tables, Arrow batches, ordered prefix sums, components."""
+"""What several corpus operators share: Arrow batches, ordered prefix sums, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WHITE = "\\x20\\x09-\\x0D"
-"""White space of all word rules here, for use within a regular expression's class."""
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set and the master is local."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="terrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on the executor that made it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
+from terrace.storage import shared_dir, staged, unstage
 
+__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "unstage", "word_count"]
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    spark, path = df.sparkSession, df._staged_path
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+WHITE = "\\x20\\x09-\\x0D"
+"""White space of all word rules here, for use within a regular expression's class."""
 
 
 def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]]) -> DataFrame:
@@ -104,6 +77,12 @@ def power_of_two(n: float, least: int = 1, most: int = 1 << 20) -> int:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of steps whose results are written: Spark deletes them when the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: node, root (the smallest node of its component), for all nodes with an edge to another.
 

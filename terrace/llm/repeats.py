@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import map_arrow, staged, unstage
+from terrace.llm.common import map_arrow, release, staged, unstage
 
 LENGTH = 200
 GRAM = 32
@@ -199,12 +197,6 @@ def repeated_ranges(contexts: list[bytes], windows: list[int], least: int = LENG
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files of steps whose results are written: Spark deletes them when the driver has collected what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 KEY = ["id", "th"]
 
 

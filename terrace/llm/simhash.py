@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, map_arrow, staged
+from terrace.llm.common import components, map_arrow, release, staged
 
 
 def simhash_of(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -132,16 +132,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = staged(map_arrow(docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id long, th long, " + ", ".join(f"{f} long" for f in fs), make), "neardup-rows")
     found = found.withColumn("node", F.xxhash64(*fs))
     classes = staged(found.groupBy("node").agg(*(F.min(f).alias(f) for f in fs), F.min(F.struct("id", "th")).alias("least")), "neardup-classes")
-    full = F.struct("node", *fs)
     lanes = F.array(*(F.struct(F.lit(2 * i + j).alias("lane"), F.shiftrightunsigned(f, 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for i, f in enumerate(fs) for j in (0, 1)))
-    values = staged(classes.select(F.explode(lanes).alias("l"), full.alias("fp")).select("l.lane", "l.value", "fp"), "neardup-lanes")
-    first = staged(values.groupBy("lane", "value").agg(F.min("fp").alias("first")), "neardup-firsts")
-    star = values.join(first, ["lane", "value"]).where("fp.node != first.node").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    variants = first.select("lane", "first", F.explode(F.expr(f"transform(sequence(-1, {LANE_BITS - 1}), i -> if(i < 0, value, value ^ shiftleft(1L, i)))")).alias("variant"))
-    w = Window.partitionBy("lane", "variant").orderBy("first.node")
-    chain = variants.select(F.lag("first").over(w).alias("a"), F.col("first").alias("b")).where("a is not null and a.node != b.node")
-    differ = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in fs), F.lit(0))
-    links = star.union(chain).where(differ <= most_bits(similarity)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    values = staged(classes.select(F.explode(lanes).alias("l"), "node").select((F.shiftleft(F.col("l.lane").cast("long"), LANE_BITS) + F.col("l.value")).alias("at"), "node"), "neardup-lanes")
+    first = staged(values.groupBy("at").agg(F.min("node").alias("first")), "neardup-firsts")
+    star = values.join(first, "at").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    variants = first.select("first", F.explode(F.expr(f"transform(sequence(-1, {LANE_BITS - 1}), i -> if(i < 0, at, at ^ shiftleft(1L, i)))")).alias("variant"))
+    w = Window.partitionBy("variant").orderBy("first")
+    chain = variants.select(F.lag("first").over(w).alias("a"), F.col("first").alias("b")).where("a is not null and a != b")
+    pairs = staged(star.union(chain).distinct(), "neardup-pairs")
+    release(docs.sparkSession)
+    side = lambda n: classes.select(F.col("node").alias(n), F.struct(*fs).alias(f"of_{n}"))
+    differ = sum((F.bit_count(F.col(f"of_a.{f}").bitwiseXOR(F.col(f"of_b.{f}"))) for f in fs), F.lit(0))
+    near = staged(pairs.join(side("a"), "a"), "neardup-sides").join(side("b"), "b")
+    links = near.where(differ <= most_bits(similarity)).select("a", "b")
     roots = components(links)
     keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
     row = docs.select(*key, F.struct(*docs.columns).alias("row"))
