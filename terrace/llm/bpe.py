@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import map_arrow, slices
+from terrace.llm.common import map_arrow, slices, without
 
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -202,7 +202,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: list[st
     """Of every row: the `keep` columns, ids (binary: little-endian unsigned 32-bit token ids) and decoded (the ids decoded again).
 
     path: a tokenizer file that every executor can open (it is never copied). Null and empty texts have no ids and decode to ''.
-    Rows are independent, so copies and ties need no rule; columns beside `keep` are dropped, so no names clash.
+    Rows are independent, so copies and ties need no rule; columns beside `keep` are dropped, and a kept one named ids or decoded gives way.
     """
     return _mapped(docs, path, text_col, keep, leaf, True)
 
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
 
 
 def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str] | None, leaf: int, both: bool) -> DataFrame:
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = without([c for c in docs.columns if c != text_col] if keep is None else keep, "ids", *["decoded"] * both)
     df = docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in keep))
 
     def make():
@@ -237,7 +237,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, keep: list[str] | None, l
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns and decoded, the text of ids_col (binary as of encode; null: '')."""
-    keep = [c for c in docs.columns if c != ids_col] if keep is None else keep
+    keep = without([c for c in docs.columns if c != ids_col] if keep is None else keep, "decoded")
     df = docs.select(F.col(ids_col).alias("_ids"), *(F.col(c) for c in keep))
 
     def make():

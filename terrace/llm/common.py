@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrace.storage import shared_dir, staged, unstage
 
-__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "unstage", "word_count"]
+__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "unstage", "without", "word_count"]
 
 WHITE = "\\x20\\x09-\\x0D"
 """White space of all word rules here, for use within a regular expression's class."""
@@ -35,6 +35,11 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def without(columns: list[str], *made: str) -> list[str]:
+    """The columns but those that have the name of one that is made, in any case: the made one takes its place."""
+    return [c for c in columns if c.lower() not in {m.lower() for m in made}]
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes add up to `most` or less, a larger item alone."""
     lo = total = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, staged, word_count
+from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, staged, without, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -102,7 +102,14 @@ def draw(
     Null sources form a source; documents without words have no pieces; repeated rows are apart. Ties in the hash go by id and text. A hot source is walked in
     hash buckets whose offsets are summed first, so no task sorts a whole source. Reruns agree. An empty table gives an empty one.
     """
-    keep = keep or []
+    keep = without(keep or [], id_col, "size", "source_size", "target", "pieces")
+    return _drawn(docs, id_col, text_col, source_col, keep, weights, share, most, block_words, shards, seed).select(
+        F.col("kept.id").alias(id_col), *(F.col(f"kept.`k_{c}`").alias(c) for c in keep), *([] if source_col in [id_col, *keep] else [F.col("source").alias(source_col)]), "size", "source_size", "target", "pieces"
+    )
+
+
+def _drawn(docs, id_col, text_col, source_col, keep, weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED) -> DataFrame:
+    """kept (a struct of id and the columns to keep), source, size, source_size, target, pieces."""
     spark = docs.sparkSession
     text = F.col(text_col)
     rows = docs.select(
@@ -147,7 +154,7 @@ def draw(
             lambda s: F.struct(c["pass"].alias("pass"), c["block"].alias("block"), s.alias("shard"), (c["line"] - F.when(s > 0, F.get("ends", s - 1)).otherwise(0)).alias("slot"), c["word_from"].alias("word_from"), c["word_to"].alias("word_to")),
         )[0],
     )
-    return df.select(F.col("kept.id").alias(id_col), *(F.col(f"kept.k_{c}").alias(c) for c in keep), F.col("source").alias(source_col) if source_col not in keep else F.lit(None).alias("_"), "size", "source_size", "target", pieces.alias("pieces")).drop("_")
+    return df.select("kept", "source", "size", "source_size", "target", pieces.alias("pieces"))
 
 
 def taken_words(pieces: str = "pieces") -> Column:
@@ -158,16 +165,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: the columns of docs and shard, slot, position; a row for each piece, its text cut to the piece's words, each shard's rows in one shuffled order.
 
     A piece that is a whole document keeps its text as it is; of others the words of the piece are kept with the white space between them.
-    position orders a shard's rows: by the hash of seed, shard, id, pass and first word, so a shard is shuffled within itself.
+    Columns of docs named shard, slot or position give way. position orders a shard's rows: by the hash of seed, shard, id, pass and first word, so a shard is shuffled within itself.
     """
-    cols = [c for c in docs.columns if c not in (id_col, source_col)]
-    df = draw(docs, id_col, text_col, source_col, keep=cols, seed=seed, **options).withColumnRenamed("size", "_size") if "size" not in cols else None
-    if df is None:
-        raise ValueError("rename the column size first: the mix has a size of its own")
-    df = df.select(*(F.col(c) for c in docs.columns), "_size", F.explode("pieces").alias("_p"))
-    df = df.withColumn(text_col, cut_words(F.col(text_col), F.col("_p.word_from"), F.col("_p.word_to"), F.col("_size")))
-    order = F.xxhash64(F.lit(seed), F.col("_p.shard"), F.col(id_col), F.col("_p.pass"), F.col("_p.word_from"))
-    return df.select(*(F.col(c) for c in docs.columns), F.col("_p.shard").alias("shard"), F.col("_p.slot").alias("slot"), order.alias("position"))
+    df = _drawn(docs, id_col, text_col, source_col, docs.columns, seed=seed, **options).select("kept", "size", F.explode("pieces").alias("p"))
+    text = cut_words(F.col(f"kept.`k_{text_col}`"), F.col("p.word_from"), F.col("p.word_to"), F.col("size"))
+    order = F.xxhash64(F.lit(seed), F.col("p.shard"), F.col("kept.id"), F.col("p.pass"), F.col("p.word_from"))
+    columns = without(docs.columns, "shard", "slot", "position")
+    return df.select(*((text if c == text_col else F.col(f"kept.`k_{c}`")).alias(c) for c in columns), F.col("p.shard").alias("shard"), F.col("p.slot").alias("slot"), order.alias("position"))
 
 
 def cut_words(text: Column, first: Column, end: Column, size: Column) -> Column:

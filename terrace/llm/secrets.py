@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.llm.common import without
+
 # Kinds in their order, with pattern, the group whose length counts, and its least length.
 KINDS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -50,9 +52,9 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     document's own matches, so a document with many parts makes no pairs.
 
     One row for each row of docs, repeated rows too; null and empty texts have no spans. A row's kept columns travel once, with its
-    first match. Extra columns with any name are kept apart in a struct.
+    first match. Extra columns with any name are kept apart in a struct; one named spans gives way.
     """
-    keep = docs.columns if keep is None else keep
+    keep = without(docs.columns if keep is None else keep, "spans")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(c) for c in keep)).alias("kept"), candidates(F.coalesce(F.col(text_col), F.lit(""))).alias("c"))
     rows = rows.select("rid", F.posexplode_outer("c").alias("nth", "c"), "kept")
     rows = rows.select("rid", F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("kept")).alias("kept"), F.col("c.kind").alias("kind"), "c.pos", "c.gap", "c.len", "c.ok")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, staged, unstage
+from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, staged, unstage, without
 
 LARGE = 64
 """Groups above a LARGE-th of a shard's mean size come first in the order; there are at most LARGE times the shards of them."""
@@ -64,9 +64,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     The others stand in order: those above a LARGE-th of a shard by size, then all by the hash of their text; the order is cut into contiguous shards of
     the smallest largest size. A row finds its shard by comparing its place with at most shards - 1 cuts, so neither rows nor texts are joined or moved for it.
     slot ranks a shard's rows by hash cells of their id, whose counts are summed first: no task ranks a whole shard or a whole group of copies.
-    Repeated rows get slots of their own. An empty table gives an empty one.
+    Repeated rows get slots of their own. Kept columns named as one of these give way. An empty table gives an empty one.
     """
-    keep = keep or []
+    keep = without(keep or [], id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     spark, text = docs.sparkSession, F.col(text_col)
     rows = docs.select(
         F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"k_{c}") for c in keep)).alias("kept"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),

@@ -31,7 +31,7 @@ def words(t):
 def corpus(spark, n=300):
     texts = AWKWARD + [f"w{i} " * (1 + i * 7 % 90) for i in range(n)]
     sources = [None if i % 11 == 0 else "hot" if i % 3 == 0 else f"s{i % 5}" for i in range(len(texts))]
-    return texts, sources, frame(spark, texts, sources=sources).withColumnRenamed("size", "Source_Size_")
+    return texts, sources, frame(spark, texts, sources=sources)
 
 
 def test_targets_and_taken(spark):
@@ -105,7 +105,7 @@ def test_mix_gives_whole_texts_and_cut_ones(spark):
 
 
 def test_edges(spark):
-    df = frame(spark, [None, "", " "]).drop("size")
+    df = frame(spark, [None, "", " "])
     assert [r.target for r in mixing.draw(df).collect()] == [0.0] * 3 and mixing.mixed(df).count() == 0
     assert mixing.draw(df.limit(0)).count() == 0
     twice = frame(spark, ["a b c"]).union(frame(spark, ["a b c"]))

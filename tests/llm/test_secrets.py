@@ -86,6 +86,7 @@ def test_repeated_rows_and_empty_tables(spark):
     df = frame(spark, [CASES[0]])
     assert len({str(r) for r in secrets.scan(df.union(df)).collect()}) == 1 and secrets.scan(df.union(df)).count() == 2
     assert secrets.scan(df.limit(0)).count() == 0
+    assert secrets.scan(df.withColumnRenamed("fp", "spans")).columns == [c for c in df.columns if c != "fp"] + ["spans"]
 
 
 def test_query(spark, sf_dir):
