@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terrace.llm.bpe import encoder
 from terrace.llm.common import bucket_offsets, map_arrow, slices
 
-WINDOW, LEAST, CUT_BITS, MOST = 4, 64, 8, 2048
+WINDOW, LEAST, CUT_BITS, MOST = 8, 64, 8, 2048
 """Ids that the rolling hash sees; ids in a chunk at least; a place is a cut if so many bits of its hash are 0; ids in a chunk at most."""
 MIXED = (np.arange(1 << 16, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
 MIXED ^= MIXED >> np.uint32(15)
@@ -110,11 +110,11 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "
 
     stage/kind=chunk/: each distinct chunk once (key, body, n), found by key. recipes/: in ascending order of id (null first, equal ids by their recipe), files by range `part`:
     doc_id, start (ids of all documents before it), n_tokens, root (Merkle root of its chunks' keys), body. manifest/: for each part the number of documents and ids and
-    the Merkle root of its documents' roots. One shuffle moves each chunk that a task hasn't sent yet; recipes are small. Token ids must be under 65,536. Repeated rows have a recipe each.
+    the Merkle root of its documents' roots. One shuffle moves each chunk that a task hasn't sent yet (so a chunk comes once from each task, however many documents share it), and only behind it are rows sorted by key; recipes are small. Token ids must be under 65,536. Repeated rows have a recipe each.
     """
     spark = docs.sparkSession
     rows = chunked(docs, path, end_id, id_col, text_col)
-    rows.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/stage")
+    rows.repartition("key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/stage")
     staged = spark.read.schema("key binary, body binary, n long, doc_id long, root binary, kind string").parquet(f"{out}/stage")
     recipes = staged.where("kind = 'recipe'").drop("kind")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
