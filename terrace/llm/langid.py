@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import map_arrow, slices
+from terrace.llm.common import map_arrow, slices, without
 
 NGRAMS = (1, 2, 3, 4)
 SLOTS, PROBES = 1 << 20, 2
@@ -29,8 +30,8 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the texts, lower-cased, each run of other than letters as one blank, and the number of each text's grams, text by text.
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: hashes of all n-grams of the texts, text by text, and the number of each text's grams. Texts are lower-cased; each run of other than letters is one blank.
 
     Grams lie within the text framed by blanks; those that are blank alone are left out.
     """
@@ -40,29 +41,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer("\0".join(["", *(t.replace("\0", " ") for t in texts), ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = points == 0
     alpha = letters()[points]
-    before = np.concatenate(([False], alpha[:-1]))
-    keep = alpha | ends | before
+    keep = alpha | ends
+    keep[1:] |= alpha[:-1]
     ends, alpha = ends[keep], alpha[keep]
     points = np.where(alpha, points[keep], np.uint32(32)).astype(np.uint64)
-    text = np.cumsum(ends) - 1
+    frames = np.flatnonzero(ends)
     mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h, found, of = None, [], []
-    crossed = np.cumsum(ends)  # a gram may begin or end at a text's frame, but not go over it
+    h = None
     for n in range(1, max(NGRAMS) + 1):
         h = mixed.copy() if n == 1 else (h[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ mixed[n - 1 :])
         if n not in NGRAMS:
             continue
-        m = len(h)
-        inner = crossed[n - 2 : n - 2 + m] - crossed[:m] == 0 if n > 2 else np.ones(m, bool)  # no frame strictly between its first and last place
-        ok = inner & (alpha[:m] | (alpha[n - 1 :] if n > 1 else False) | (n > 2))
+        m = max(0, len(points) - n + 1)
+        if n == 1:
+            ok = alpha.copy()
+        elif n == 2:
+            ok = alpha[:m] | alpha[1:]
+        else:  # no frame strictly between a gram's first and last place
+            ok = np.ones(m, bool)
+            for d in range(1, n - 1):
+                at = frames - d
+                ok[at[(at >= 0) & (at < m)]] = False
+        upto = np.concatenate(([0], np.cumsum(ok)))
+        counts = np.diff(upto[np.minimum(frames, m)])
         x = h[ok] + np.uint64(n)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        found.append(x ^ (x >> np.uint64(29)))
-        of.append(text[:m][ok])
-    every, owner = np.concatenate(found), np.concatenate(of)
-    order = np.argsort(owner, kind="stable")
-    return every[order], np.bincount(owner, minlength=len(texts))[: len(texts)]
+        yield x ^ (x >> np.uint64(29)), counts
 
 
 @dataclass
@@ -91,14 +96,15 @@ class Filter:
 
     def decide(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score of each text: the share of its grams that the language contains, corrected for false positives."""
-        h, counts = grams(texts)
-        masks, starts = self.contains(h), np.concatenate(([0], np.cumsum(counts)))
         wrong = self.set_share**PROBES
-        corrected = np.zeros((len(texts), len(self.languages)))
-        for i in range(len(self.languages)):
-            ones = np.concatenate(([0], np.cumsum((masks >> np.uint64(i)) & np.uint64(1), dtype=np.int64)))
-            hits = ones[starts[1:]] - ones[starts[:-1]]
-            corrected[:, i] = np.clip((hits - counts * wrong[i]) / max(1 - wrong[i], 1e-9), 0, None)
+        counts, hits = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)), np.int64)
+        for h, each in grams(texts):
+            masks, starts = self.contains(h), np.concatenate(([0], np.cumsum(each)))
+            counts += each
+            for i in range(len(self.languages)):
+                ones = np.concatenate(([0], np.cumsum((masks >> np.uint64(i)).astype(np.uint8) & 1, dtype=np.int32)))
+                hits[:, i] += ones[starts[1:]] - ones[starts[:-1]]
+        corrected = np.clip((hits - counts[:, None] * wrong) / np.maximum(1 - wrong, 1e-9), 0, None)
         out = []
         for n, c in zip(counts, corrected):
             if not n or not self.languages:
@@ -134,7 +140,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             for lang in sorted(set(langs)):
                 own = [t for x, t in zip(langs, texts) if x == lang]
                 for lo, hi in slices([len(t) for t in own], 1 << 20):
-                    h, n = np.unique(grams(own[lo:hi])[0], return_counts=True)
+                    h, n = np.unique(np.concatenate([h for h, _ in grams(own[lo:hi])]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
         return f
@@ -152,9 +158,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns (all, if None), lang_pred and score of every row, over whole texts; null texts and those without letters get 'und' and 0.
 
-    The filter is broadcast; its size is fixed. Ties go to the language that sorts first. Rows are independent.
+    The filter is broadcast; its size is fixed. Ties go to the language that sorts first. Rows are independent. Columns named as these two give way.
     """
-    keep = docs.columns if keep is None else keep
+    keep = without(docs.columns if keep is None else keep, "lang_pred", "score")
     df = docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in keep))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -30,19 +30,23 @@ def brute_grams(t):
     return out
 
 
+def all_of(texts):
+    """Hashes of all grams, and the number of each text's."""
+    parts = list(langid.grams(texts))
+    return np.concatenate([h for h, _ in parts]), sum(c for _, c in parts)
+
+
 def test_grams_are_those_of_a_walk():
-    texts = [t or "" for t in AWKWARD if t is None or len(t) < 300] + EN + ["a\0b", "1a2", "--", "É é", "ab"]
-    h, counts = langid.grams(texts)
-    at, hash_of = 0, {}
-    for t, n in zip(texts, counts):
-        want = brute_grams(t)
-        assert len(want) == n, t
-        for g in set(want):
-            hash_of.setdefault(g, langid.grams([g.strip()])[0] if len(g) == 1 else None)
-        at += n
-    assert at == len(h)
-    one, two = langid.grams(["the cat the cat"])[0], langid.grams(["x", "the cat the cat"])[0]
-    assert sorted(one) == sorted(two[-len(one) :])
+    texts = [t or "" for t in AWKWARD if t is None or len(t) < 300] + EN + ["a\0b", "1a2", "--", "É é", "ab", "a", "abc", "ab c"]
+    h, counts = all_of(texts)
+    assert [len(brute_grams(t)) for t in texts] == counts.tolist() and len(h) == counts.sum()
+    for n, (h, c) in zip(langid.NGRAMS, langid.grams(texts)):
+        at = 0
+        for t, k in zip(texts, c):
+            alone = next(x for m, (x, _) in zip(langid.NGRAMS, langid.grams([t])) if m == n)
+            assert sorted(alone) == sorted(h[at : at + k])
+            at += k
+    one = all_of(["the cat the cat"])[0]
     assert len(np.unique(one)) == len(set(brute_grams("the cat the cat")))
 
 
@@ -65,6 +69,8 @@ def test_decides_and_rejects(spark, monkeypatch):
     assert [got[i].lang_pred for i in range(6)] == langs[:6] and all(0 < got[i].score <= 1 for i in range(6))
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (6, 7, 8))
     assert got[0].fp == 0 and got[0].lang == "en"
+    clash = langid.identify(df.withColumn("Score", F.lit(7)), model).columns
+    assert clash == [*df.columns, "lang_pred", "score"]
     more = langid.identify(frame(spark, AWKWARD), model, keep=["doc_id"]).collect()
     assert len(more) == len(AWKWARD)
     assert langid.identify(df.limit(0), langid.fit(df.limit(0))).count() == 0
