@@ -133,14 +133,21 @@ def maximal_repeats(text: np.ndarray, starts: np.ndarray, longest: int, least: i
     n = len(text)
     if len(starts) < 2:
         return
-    ranks, size = [np.concatenate((text.astype(np.int64) + 1, np.zeros(2 * least + 2, np.int64)))], 1
+    ranks, size = [np.concatenate((text + 1, np.zeros(2 * least + 2))).astype(np.int32)], 1
+
+    def joined(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        key = a.astype(np.int64)
+        key *= most + 1
+        key += b
+        return key
+
     while size * 2 <= least:
         r = ranks[-1]
-        key = r[: n + least] * (int(r.max()) + 1) + r[size : size + n + least]
-        ranks.append(np.append(np.unique(key, return_inverse=True)[1], np.zeros(least + 2, np.int64)))
+        key = joined(r[: n + least], r[size : size + n + least], int(r.max()))
+        ranks.append(np.append(np.unique(key, return_inverse=True)[1].astype(np.int32), np.zeros(least + 2, np.int32)))
         size *= 2
     top = ranks[-1]
-    key = top[starts] * (int(top.max()) + 1) + top[starts + least - size]
+    key = joined(top[starts], top[starts + least - size], int(top.max()))
     _, group, count = np.unique(key, return_inverse=True, return_counts=True)
     starts = starts[count[group] > 1]  # a suffix without a partner at this length is in no interval
     if not len(starts):
