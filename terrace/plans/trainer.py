@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrace.operators import binning, histogram, sampling, split
 from terrace.operators.encoding import TargetEncoder
-from terrace.operators.objective import base_score, gradient, hessian
+from terrace.operators.objective import LEAST_HESSIAN, base_score, gradient, hessian
 from terrace.params import Params
 from terrace.plans.model import Model
 from terrace.storage import staged, unstage, with_row_id
@@ -70,7 +70,7 @@ class Trainer:
         current, done = frame.persist(), None
         pending: list[tuple[list, np.ndarray]] = []
         for tree in range(p.n_trees):
-            splits, gains, values, spread = self._tree(self._margins(current, pending), tree, n)
+            splits, gains, values, spread = self._tree(current, pending, tree, n)
             feature.append([f for f, _ in splits])
             threshold.append([cuts[f, b] for f, b in splits])
             gain.append(gains)
@@ -98,10 +98,12 @@ class Trainer:
             m = m + F.element_at(F.array(*map(F.lit, values.tolist())), node_of(splits) + 1)
         return df.withColumn("m", m) if trees else df
 
-    def _tree(self, rows: DataFrame, tree: int, n: int) -> tuple[list[tuple[int, int]], list[float], np.ndarray, np.ndarray]:
+    def _tree(self, current: DataFrame, pending: list[tuple[list, np.ndarray]], tree: int, n: int) -> tuple[list[tuple[int, int]], list[float], np.ndarray, np.ndarray]:
         p, seed = self.p, sampling.tree_seed(self.p.seed, tree)
         nf = len(self.features)
         y, m = F.col("_y"), F.col("m")
+        rows = self._margins(current, pending)
+        every = not p.goss_top and not p.clamp_hessian and p.subsample >= 0.999  # all rows count, with the gradients of their margins
         if p.goss_top == 0 and p.subsample < 0.999:
             row = F.col("_row")
             rows = rows.where(sampling.stride_rows(row, p.subsample, tree) if p.sampling == "stride" else sampling.hash_rows(row, p.subsample, seed))
@@ -127,7 +129,10 @@ class Trainer:
             small = nodes * nf * p.n_bins <= DRIVER_CELLS
             if small:
                 odd = p.subtract and level > 0
-                found = self._sums(at.where(F.col("node") % 2 == 1) if odd else at, kept, nodes, squares)
+                if every:
+                    found = self._sums(current, kept, nodes, squares, list(splits), list(pending), odd)
+                else:
+                    found = self._sums(at.where(F.col("node") % 2 == 1) if odd else at, kept, nodes, squares)
                 if odd:  # an even child is its parent less its sibling
                     found[:, 0::2] = parent - found[:, 1::2]
                 parent = found
@@ -160,27 +165,57 @@ class Trainer:
         self._timed("leaves", t)
         return splits, gains, values, spread
 
-    def _sums(self, rows: DataFrame, kept: list[int], nodes: int, squares: bool) -> np.ndarray:
+    def _sums(self, rows: DataFrame, kept: list[int], nodes: int, squares: bool, splits: list[tuple[int, int]] | None = None, pending: list | None = None, odd: bool = False) -> np.ndarray:
         """g, h, count and squares by [what, node, feature, bin], collected: a bounded number of cells.
 
-        Each task sums its own rows into an array, so the shuffle carries its non-empty cells, and no row is copied for each feature.
+        Each task sums its own rows into an array, so the shuffle carries its non-empty cells, and no row is copied for each feature. rows has node, g and h; or, with `splits`,
+        labels and written margins, from which the task works these out: then the plan is the same for every level and tree, and Spark compiles it once.
         """
         p = self.p
         what = ["g", "h", *(["g2"] if squares else [])]
         wide = len(self.features) * p.n_bins
         scale = p.int_scale if p.int_hist else None
+        objective = p.objective
+        ready = splits is None
+        bins = kept if ready else list(range(len(self.features)))
+        columns = ["node", *what, *(f"b{f}" for f in bins)] if ready else ["_y", "m", *(f"b{f}" for f in bins)]
+
+        def place(b: dict[int, np.ndarray], path: list[tuple[int, int]], n: int) -> np.ndarray:
+            node = np.zeros(n, np.int64)
+            for f, cut in path:
+                node = node * 2 + (b[f] > cut)
+            return node
+
+        def prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray], dict[int, np.ndarray]]:
+            cols = [c.to_numpy() for c in batch.columns]
+            head = 1 + len(what) if ready else 2
+            b = dict(zip(bins, cols[head:]))
+            if ready:
+                return cols[0].astype(np.int64), cols[1:head], b
+            y, m = cols[0], cols[1].copy()
+            for path, values in pending:
+                m += values[place(b, path, len(m))]
+            if objective == "logistic":
+                prob = 1 / (1 + np.exp(-m))
+                g, h = prob - y, np.maximum(prob * (1 - prob), LEAST_HESSIAN)
+            else:
+                g, h = m - y, np.ones(len(m))
+            node = place(b, splits, len(m))
+            if odd:
+                on = node % 2 == 1
+                node, g, h, b = node[on], g[on], h[on], {f: b[f][on] for f in kept}
+            return node, [g, h, *([g * g] if squares else [])], b
 
         def count(batches):
-            """A task's own sums, cell by cell: one Arrow batch after the other is counted into them."""
             sums = None
-            for b in batches:
+            for batch in batches:
                 sums = np.zeros((len(what) + 1, nodes * wide)) if sums is None else sums
-                node = b.column(0).to_numpy().astype(np.int64) * wide
-                weights = [b.column(1 + i).to_numpy() for i in range(len(what))]
+                node, weights, b = prepared(batch)
+                node = node * wide
                 if scale:
                     weights = [np.trunc(w * scale + np.copysign(0.5, w)) for w in weights[:2]] + weights[2:]
-                for i, f in enumerate(kept):
-                    at = node + f * p.n_bins + b.column(1 + len(what) + i).to_numpy()
+                for f in kept:
+                    at = node + f * p.n_bins + b[f]
                     for k, w in enumerate(weights):
                         sums[k] += np.bincount(at, w, nodes * wide)
                     sums[-1] += np.bincount(at, minlength=nodes * wide)
@@ -189,7 +224,7 @@ class Trainer:
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(x[cell]) for x in sums)], names=["cell", *what, "n"])
 
         kinds = "cell long, " + ", ".join(f"{c} double" for c in [*what, "n"])
-        parts = rows.select("node", *what, *(f"b{f}" for f in kept)).mapInArrow(count, kinds)
+        parts = rows.select(*columns).mapInArrow(count, kinds)
         table = parts.groupBy("cell").agg(*(F.sum(c).alias(c) for c in [*what, "n"])).toArrow()
         cell = table["cell"].to_numpy()
         out = np.zeros((4, nodes * wide))
