@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, map_arrow, release, staged
+from terrace.llm.common import components, map_arrow, release, staged, unstage
 
 
 def simhash_of(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -110,13 +110,41 @@ def most_bits(similarity: float) -> int:
     return int(LANES * LANE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct word shingles. Words and short texts as in simhash_of."""
+    words = (text or b"").lower().split()
+    rows = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in rows), np.uint64)).view(np.int64)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have shingle sets at the similarity: both are made again from the texts and compared."""
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+        return f
+
+    some = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "least.id", "least.th"), "neardup-compared")
+    texts = docs.join(some, ["id", "th"]).select("node", "text")
+    sets = staged(map_arrow(texts, "node long, hashes array<long>", make).dropDuplicates(["node"]), "neardup-sets")
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(both + 1e-9 >= similarity * (F.size("of_a") + F.size("of_b") - both))
+    out = staged(links.select("a", "b"), "neardup-links")
+    unstage(sets)
+    unstage(some)
+    return out
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each class of near-duplicates: that with the smallest id (null first), then the smallest text hash, then the smallest row.
 
-    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, as the 256 bits of their wide SimHash show it. Candidates are found lane by lane, by
+    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, verified on the sets. Candidates are found lane by lane, by
     meet-in-the-middle ball hashing: lane values that differ in two bits or fewer share a variant. Fingerprints with an equal lane value are compared with the smallest of them, and
     the smallest ones of values with a common variant with each other in a chain, so no group makes pairs; classes are the components of the links that hold.
-    Copies share a fingerprint. Texts without words are copies of each other. Columns of any name are kept. An empty table gives an empty one.
+    Texts with equal sets share a node. Texts without words are copies of each other. Columns of any name are kept. An empty table gives an empty one.
     """
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(5)).alias("th")]
     words = LANES * LANE_BITS // 64
@@ -124,13 +152,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             got = np.array([wide_simhash(t, shingle) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(got[:, i])) for i in range(words))], names=["id", "th", *(f"f{i}" for i in range(words))])
+            nodes = np.array([xxhash.xxh64_intdigest(shingles(t, shingle).tobytes(), 7) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(got[:, i])) for i in range(words))], names=["id", "th", "node", *(f"f{i}" for i in range(words))])
 
         return f
 
     fs = [f"f{i}" for i in range(words)]
-    found = staged(map_arrow(docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")), "id long, th long, " + ", ".join(f"{f} long" for f in fs), make), "neardup-rows")
-    found = found.withColumn("node", F.xxhash64(*fs))
+    texts = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    found = staged(map_arrow(texts, "id long, th long, node long, " + ", ".join(f"{f} long" for f in fs), make), "neardup-rows")
     classes = staged(found.groupBy("node").agg(*(F.min(f).alias(f) for f in fs), F.min(F.struct("id", "th")).alias("least")), "neardup-classes")
     lanes = F.array(*(F.struct(F.lit(2 * i + j).alias("lane"), F.shiftrightunsigned(f, 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for i, f in enumerate(fs) for j in (0, 1)))
     values = staged(classes.select(F.explode(lanes).alias("l"), "node").select((F.shiftleft(F.col("l.lane").cast("long"), LANE_BITS) + F.col("l.value")).alias("at"), "node"), "neardup-lanes")
@@ -141,11 +170,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     chain = variants.select(F.lag("first").over(w).alias("a"), F.col("first").alias("b")).where("a is not null and a != b")
     pairs = staged(star.union(chain).distinct(), "neardup-pairs")
     release(docs.sparkSession)
-    side = lambda n: classes.select(F.col("node").alias(n), F.struct(*fs).alias(f"of_{n}"))
-    differ = sum((F.bit_count(F.col(f"of_a.{f}").bitwiseXOR(F.col(f"of_b.{f}"))) for f in fs), F.lit(0))
-    near = staged(pairs.join(side("a"), "a"), "neardup-sides").join(side("b"), "b")
-    links = near.where(differ <= most_bits(similarity)).select("a", "b")
-    roots = components(links)
+    roots = components(_verified(pairs, classes, texts, shingle, similarity))
     keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
     row = docs.select(*key, F.struct(*docs.columns).alias("row"))
     kept = row.join(keeper, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))

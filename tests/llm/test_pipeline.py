@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 from terrace.llm import simhash
@@ -33,6 +34,45 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert not kept & set(range(clean + 20, len(texts)))
 
 
+def exact_keepers(texts):
+    """Ids that stay by exact similarity, and pairs by twentieths of it."""
+    root, near = list(range(len(texts))), Counter()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            j = jaccard(texts[a], texts[b])
+            near[int(j * 20)] += 1
+            if j >= 0.8:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i for i in range(len(texts)) if find(i) == i}, near
+
+
+def edited(seed):
+    """Texts and two edits of each, at both sides of the bound."""
+    rng, texts = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for _ in range(80):
+        w = [word() for _ in range(rng.randrange(60, 160))]
+        texts.append(" ".join(w))
+        for _ in range(2):
+            x = list(w)
+            for at in rng.sample(range(len(x)), rng.randrange(1, 5)):
+                x[at] = word()
+            texts.append(" ".join(x))
+    return texts
+
+
+def test_texts_below_the_bound_stay(spark):
+    texts = edited(4)
+    want, near = exact_keepers(texts)
+    assert near[15] > 10 and want <= {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()}
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     df = frame(spark, [None, "", "a", "a", "b"], ids=[3, 2, 7, 7, 9])
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df.union(df)).collect()) == [(2, ""), (7, "a"), (9, "b")]
