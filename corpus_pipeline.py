@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators: each stage takes what its predecessor kept, written as Parquet and read again.
 
-language: documents that language identification rejects go. near_duplicates: one document of each SimHash class stays. secrets: spans are masked.
+language: documents that language identification rejects go. near_duplicates: one document of each class of near copies stays. secrets: spans are masked.
 mix: sources are mixed to their target weights. tokens: what is left is encoded and decoded again.
 """
 
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with the smallest id.
 
-    Texts are linked if their five-word shingle sets are at a similarity of 0.8 or more by SimHash.
+    Texts are linked if their five-word shingle sets are at a Jaccard similarity of 0.8 or more, verified on the sets.
     """
     from terrace.llm.simhash import keep_one
 
@@ -62,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
 
 ORACLE_SQL = None
-"""SQL has no SimHash, Bloom filter or BPE; the stages are tested against brute-force versions instead."""
+"""SQL has no near-duplicate classes, Bloom filter or BPE; the stages are tested against brute-force versions instead."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
