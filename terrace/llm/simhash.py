@@ -110,6 +110,10 @@ def most_bits(similarity: float) -> int:
     return int(LANES * LANE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+SAMPLE, COMMON, MOST_COMMON = 16, 3, 200_000
+"""One text of SAMPLE is read for shingles that are common: in COMMON or more of them, the MOST_COMMON most frequent at most."""
+
+
 def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct word shingles. Words and short texts as in simhash_of."""
     words = (text or b"").lower().split()
@@ -117,6 +121,32 @@ def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in rows), np.uint64)).view(np.int64)
 
 
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles (rare ones, then `common` ones by count; by hash), so many that sets at `similarity` or more share one of them."""
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]]
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample (th, text), sorted, and their counts. Any answer gives the same links: it only decides which shingles texts meet by."""
+
+    def make():
+        return lambda b: pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, shingle) for t in b.column(0).to_pylist()]))], names=["token"])
+
+    some = map_arrow(docs.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text"), "token long", make)
+    top = some.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).toPandas().sort_values("token")
+    return top["token"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+
+
+def _enough(similarity: float, x: str, y: str):
+    """Whether sets x and y (n: shingles, pos: place of a shared one) may still be at the similarity if they share nothing before that one. That they don't holds at the first they share."""
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
+    return left * (1 + similarity) + 1e-9 >= similarity * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts have shingle sets at the similarity: both are made again from the texts and compared."""
 
@@ -141,36 +171,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each class of near-duplicates: that with the smallest id (null first), then the smallest text hash, then the smallest row.
 
-    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, verified on the sets. Candidates are found lane by lane, by
-    meet-in-the-middle ball hashing: lane values that differ in two bits or fewer share a variant. Fingerprints with an equal lane value are compared with the smallest of them, and
-    the smallest ones of values with a common variant with each other in a chain, so no group makes pairs; classes are the components of the links that hold.
+    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, and classes are the components of these links. None is estimated: two such
+    sets share one of their first shingles in any one order of all shingles, so texts meet by those, and pairs that meet are verified on their whole sets. Common shingles come last in that order.
+    Where many meet, each is compared with the smallest and the largest node.
     Texts with equal sets share a node. Texts without words are copies of each other. Columns of any name are kept. An empty table gives an empty one.
     """
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(5)).alias("th")]
-    words = LANES * LANE_BITS // 64
+    texts = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    common, counts = _common(texts, shingle)
 
     def make():
+        seen = set()
+
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            got = np.array([wide_simhash(t, shingle) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
-            nodes = np.array([xxhash.xxh64_intdigest(shingles(t, shingle).tobytes(), 7) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), *(pa.array(np.ascontiguousarray(got[:, i])) for i in range(words))], names=["id", "th", "node", *(f"f{i}" for i in range(words))])
+            nodes, sizes, first = [], [], []
+            for t in b.column(2).to_pylist():
+                h = shingles(t, shingle)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                sizes.append(len(h))
+                first.append(None if nodes[-1] in seen else prefix(h, similarity, common, counts))
+                seen.add(nodes[-1])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "th", "node", "n", "first"])
 
         return f
 
-    fs = [f"f{i}" for i in range(words)]
-    texts = docs.select(*key, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    found = staged(map_arrow(texts, "id long, th long, node long, " + ", ".join(f"{f} long" for f in fs), make), "neardup-rows")
-    classes = staged(found.groupBy("node").agg(*(F.min(f).alias(f) for f in fs), F.min(F.struct("id", "th")).alias("least")), "neardup-classes")
-    lanes = F.array(*(F.struct(F.lit(2 * i + j).alias("lane"), F.shiftrightunsigned(f, 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")) for i, f in enumerate(fs) for j in (0, 1)))
-    values = staged(classes.select(F.explode(lanes).alias("l"), "node").select((F.shiftleft(F.col("l.lane").cast("long"), LANE_BITS) + F.col("l.value")).alias("at"), "node"), "neardup-lanes")
-    first = staged(values.groupBy("at").agg(F.min("node").alias("first")), "neardup-firsts")
-    star = values.join(first, "at").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    variants = first.select("first", F.explode(F.expr(f"transform(sequence(-1, {LANE_BITS - 1}), i -> if(i < 0, at, at ^ shiftleft(1L, i)))")).alias("variant"))
-    w = Window.partitionBy("variant").orderBy("first")
-    chain = variants.select(F.lag("first").over(w).alias("a"), F.col("first").alias("b")).where("a is not null and a != b")
-    pairs = staged(star.union(chain).distinct(), "neardup-pairs")
+    found = staged(map_arrow(texts, "id long, th long, node long, n int, first array<long>", make), "neardup-rows")
+    classes = staged(found.groupBy("node").agg(F.min(F.struct("id", "th")).alias("least")), "neardup-classes")
+    w = Window.partitionBy("token")
+    post = F.struct("node", "n", "pos")
+    posts = found.where("first is not null").select("node", "n", F.posexplode("first").alias("pos", "token"))
+    posts = posts.withColumn("lo", F.min(post).over(w)).withColumn("hi", F.max(post).over(w)).where("lo.node != hi.node").select("token", post.alias("x"), "lo", "hi").distinct()
+    posts = staged(posts, "neardup-posts")
     release(docs.sparkSession)
-    roots = components(_verified(pairs, classes, texts, shingle, similarity))
+    star = posts.select("x", F.explode(F.array("lo", "hi")).alias("y")).where((F.col("x.node") != F.col("y.node")) & _enough(similarity, "x", "y"))
+    star = staged(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "neardup-pairs")
+    roots = components(_verified(star, classes, texts, shingle, similarity))
     keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
     row = docs.select(*key, F.struct(*docs.columns).alias("row"))
     kept = row.join(keeper, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))

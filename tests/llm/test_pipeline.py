@@ -73,6 +73,12 @@ def test_texts_below_the_bound_stay(spark):
     assert near[15] > 10 and want <= {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()}
 
 
+def test_all_links_at_the_bound_are_found(spark):
+    texts = edited(5)
+    want, near = exact_keepers(texts)
+    assert near[16] > 10 and {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()} == want
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     df = frame(spark, [None, "", "a", "a", "b"], ids=[3, 2, 7, 7, 9])
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df.union(df)).collect()) == [(2, ""), (7, "a"), (9, "b")]
