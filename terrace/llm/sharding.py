@@ -42,14 +42,14 @@ def minimax_cuts(ordered: DataFrame, shards: int, total: int, most: int) -> list
     """The ends of the shards for the smallest capacity by which a greedy walk over the groups (column end: running sizes) fills at most `shards`.
 
     most: the largest group. The capacity is at least the mean and the largest group, and the mean plus the largest group always does;
-    each step tries PROBES capacities in between and keeps the interval that holds the smallest feasible one.
+    each step tries at most PROBES capacities and the upper end, which is known to do, and keeps the interval that holds the smallest feasible one.
     """
     lo = max(-(-total // shards), most)
     hi = max(lo, -(-total // shards) + most)
     best: list[int] | None = None
     while best is None or lo < hi:
-        step = max(1, (hi - lo) // PROBES)
-        caps = sorted({*range(lo, hi, step), hi})[: PROBES + 2]
+        step = max(1, -(-(hi - lo) // PROBES))
+        caps = [*range(lo, hi, step), hi]
         ends = _fill(ordered, caps, shards, total, most)
         i = next(i for i, e in enumerate(ends) if e and e[-1] >= total)
         best, hi = ends[i], caps[i]

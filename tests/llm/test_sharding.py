@@ -59,6 +59,15 @@ def test_cuts_are_minimax(spark, seed):
     assert set(cuts) <= set(ends) and max(loads) == smallest_capacity(sizes, 5) and cuts[-1] == ends[-1]
 
 
+def test_search_ends_at_any_capacity(monkeypatch):
+    """Whatever the smallest capacity is, the probes hold one that does."""
+    for most in (18, 31, 1000, 100_000):
+        lo = most
+        for answer in {*range(lo, lo + most, max(1, most // 900)), lo + most // 2 + 1}:
+            monkeypatch.setattr(sharding, "_fill", lambda _o, caps, _s, total, _m, answer=answer: [[c, total if c >= answer else 0] for c in caps])
+            assert sharding.minimax_cuts(None, 5, 5 * most, most)[0] == answer
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["a", "a", "a"], ["", None, "", "b"], ["x" * 100] + ["a", "b"]])
 def test_few_rows(spark, texts):
     check(texts, sharding.shard(frame(spark, texts), 8).collect(), 8)
