@@ -110,8 +110,8 @@ def most_bits(similarity: float) -> int:
     return int(LANES * LANE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-SAMPLE, COMMON, MOST_COMMON = 16, 3, 200_000
-"""One text of SAMPLE is read for shingles that are common: in COMMON or more of them, the MOST_COMMON most frequent at most."""
+SAMPLE, COMMON, MOST_COMMON, BLOCK = 16, 3, 200_000, 512
+"""One text of SAMPLE is read for shingles that are common: in COMMON or more of them, the MOST_COMMON most frequent at most. Texts of a block."""
 
 
 def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -151,14 +151,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     """The pairs (a, b) whose texts have shingle sets at the similarity: both are made again from the texts and compared."""
 
     def make():
+        seen = set()
+
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "hashes"])
+            new = {n: t for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if n not in seen}
+            seen.update(new)
+            return pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([shingles(t, shingle) for t in new.values()], pa.list_(pa.int64()))], names=["node", "hashes"])
 
         return f
 
     some = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "least.id", "least.th"), "neardup-compared")
     texts = docs.join(some, ["id", "th"]).select("node", "text")
-    sets = staged(map_arrow(texts, "node long, hashes array<long>", make).dropDuplicates(["node"]), "neardup-sets")
+    sets = staged(map_arrow(texts, "node long, hashes array<long>", make), "neardup-sets")
+    release(docs.sparkSession)
     side = lambda n: sets.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(both + 1e-9 >= similarity * (F.size("of_a") + F.size("of_b") - both))
@@ -168,12 +173,25 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return out
 
 
+def _crossing(posts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of posts (token, node, n, pos, root) with a common token and different roots that may be at the similarity, made in blocks of about BLOCK texts."""
+    w = Window.partitionBy("token")
+    open_ = posts.withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("int")).withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo != hi")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.struct("node", "n", "pos", "root", "mine").alias("x"))
+    dealt = staged(dealt, "neardup-open")
+    met = dealt.join(dealt.withColumnRenamed("x", "y"), ["token", "i", "j"])
+    met = met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("i") == F.col("j")) | (F.col("x.mine") != F.col("y.mine"))) & _enough(similarity, "x", "y"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each class of near-duplicates: that with the smallest id (null first), then the smallest text hash, then the smallest row.
 
-    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, and classes are the components of these links. None is estimated: two such
+    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, and classes are the components of these links. No link is missed and none is estimated: two such
     sets share one of their first shingles in any one order of all shingles, so texts meet by those, and pairs that meet are verified on their whole sets. Common shingles come last in that order.
-    Where many meet, each is compared with the smallest and the largest node.
+    Where many meet, each is compared with the smallest and the largest node first; then all pairs that are still in different components are, in blocks.
     Texts with equal sets share a node. Texts without words are copies of each other. Columns of any name are kept. An empty table gives an empty one.
     """
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(5)).alias("th")]
@@ -202,10 +220,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     posts = found.where("first is not null").select("node", "n", F.posexplode("first").alias("pos", "token"))
     posts = posts.withColumn("lo", F.min(post).over(w)).withColumn("hi", F.max(post).over(w)).where("lo.node != hi.node").select("token", post.alias("x"), "lo", "hi").distinct()
     posts = staged(posts, "neardup-posts")
+    unstage(found)
     release(docs.sparkSession)
     star = posts.select("x", F.explode(F.array("lo", "hi")).alias("y")).where((F.col("x.node") != F.col("y.node")) & _enough(similarity, "x", "y"))
     star = staged(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "neardup-pairs")
-    roots = components(_verified(star, classes, texts, shingle, similarity))
+    links = _verified(star, classes, texts, shingle, similarity)
+    roots = components(links)
+    posts = posts.select("token", "x.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = staged(_crossing(posts, similarity).join(star, ["a", "b"], "left_anti"), "neardup-rest")
+    release(docs.sparkSession)
+    roots = components(links.union(_verified(rest, classes, texts, shingle, similarity)))
     keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
     row = docs.select(*key, F.struct(*docs.columns).alias("row"))
     kept = row.join(keeper, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))

@@ -79,6 +79,21 @@ def test_all_links_at_the_bound_are_found(spark):
     assert near[16] > 10 and {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()} == want
 
 
+def test_links_behind_unlinked_texts_are_found(spark, monkeypatch):
+    """Near copies in a large family of texts that share a template at 0.6 to 0.79, whole and dealt to blocks."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    template, texts = [word() for _ in range(100)], []
+    for _ in range(40):
+        x = template + [word() for _ in range(rng.randrange(14, 20))]
+        texts += [" ".join(x), " ".join([*x[:-4], *(word() for _ in range(4))])]
+    want, near = exact_keepers(texts)
+    assert near[14] > 500 and len(want) == 40
+    for block in (512, 8):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        assert {r.doc_id for r in simhash.keep_one(frame(spark, texts)).collect()} == want
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     df = frame(spark, [None, "", "a", "a", "b"], ids=[3, 2, 7, 7, 9])
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df.union(df)).collect()) == [(2, ""), (7, "a"), (9, "b")]
