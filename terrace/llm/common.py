@@ -6,18 +6,20 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrace.storage import shared_dir, staged, unstage
 
-__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "unstage", "without", "word_count"]
+__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "text_slices", "unstage", "without", "word_count"]
 
 WHITE = "\\x20\\x09-\\x0D"
 """White space of all word rules here, for use within a regular expression's class."""
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]]) -> DataFrame:
+def map_arrow(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with a function that is made once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +54,11 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """slices of a column of texts or binaries by their bytes (null: 0), without making Python objects of them."""
+    return slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
 def word_count(text):
     """Words `[^\\x20\\x09-\\x0D]+` of a text column; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")

@@ -28,6 +28,8 @@ def test_tree_encodes_as_the_library(name, leaf):
     texts = ["a" * 500, "ab" * 300, "!?" * 200, "é" * 99, "<|endoftext|>" * 3, "x<|startoftext|>Straße<|endoftext|>", "é" * 50]
     for letters in ("ab", "the inofr", "abcdefghijklmnopqrstuvwxyz", "aé日İ𝒳ß'!7"):
         texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for _ in range(25)]
+    for letters in ("ab  ", "it's we'll I've \n\t", "aé日ß'!7 \u2003 "):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for _ in range(25)]
     for t in texts:
         assert enc.encode(t) == tok.encode(t, add_special_tokens=False).ids, t
     assert enc.encode_batch(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
@@ -56,6 +58,49 @@ def test_white_space_of_all_kinds(name):
         assert np.frombuffer(enc.encode_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", [WORD, "byte_bpe_50k.json"])
+def test_parts_join_to_what_the_whole_text_gives(name):
+    path, rng = tokenizer_path(name), random.Random(11)
+    tok, enc = library(path), bpe.TreeEncoder(path, 8)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "It's", "we'll", "é", "12", "!!", " ", "   ", "\n\n", "'r", "e", "' d", "internationalisation"]) for _ in range(rng.randrange(1, 60)))
+        plain, before = enc.normalized(t), enc.joins
+        places = sorted(rng.randrange(len(plain) + 1) for _ in range(5))
+        whole = enc.joined([enc.part(plain[a:b]) for a, b in zip([0, *places], [*places, len(plain)])])
+        assert (whole.text, whole.words) == (plain, enc.pattern[plain.isascii()].findall(plain)) and enc.joins == before + 5
+        assert np.frombuffer(whole.ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+        assert sum(whole.sizes) == len(whole.ids)
+
+
+@pytest.mark.parametrize("name", [WORD, "byte_bpe_50k.json"])
+def test_leaves_in_many_tasks(spark, name):
+    """Texts that are cut into rows, among them one run without a place to split, special tokens, and code points that only the library may split."""
+    path = tokenizer_path(name)
+    tok, rng = library(path), random.Random(5)
+    texts = [*AWKWARD, "x" * 9001, "It's we'll " * 900, "".join(rng.choice("abé日 \n'!7") for _ in range(5000)), "<|endoftext|> a" * 300, "\U0001fae8 b" * 200, " " * 3000]
+    df = frame(spark, texts)
+    for leaf, spread in ((16, 100), (4096, 1000)):
+        got = bpe.encode(df.union(df), path, keep=["doc_id", "fp"], leaf=leaf, spread=spread).collect()
+        assert len(got) == 2 * len(texts)
+        for r in got:
+            assert r.fp == r.doc_id and np.frombuffer(bytes(r.ids), "<u4").tolist() == tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+
+
+def test_documents_are_joined_from_leaves(spark, sf_dir):
+    enc = bpe.TreeEncoder(tokenizer_path(WORD))
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 4096").collect()]
+    for t in texts:
+        enc.encode_bytes(t)
+    assert len(texts) > 5 and enc.joins >= len(texts)
+
+
+def test_words_are_kept_within_their_bytes():
+    words = bpe.Words(lambda w: [1, 2, 3], 10, 10_000)
+    for i in range(500):
+        assert len(words[f"word{i}"]) == 12 and words.used <= 10_000 + 400
+    assert len(words) < 50 and len(words["x" * 11]) == 12 and "x" * 11 not in words
+
+
 def test_long_words_take_the_tree_at_the_production_leaf():
     path, rng = tokenizer_path(WORD), random.Random(3)
     text = "".join(rng.choice("etaoinshrdlu") for _ in range(50_000))
