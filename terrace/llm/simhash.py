@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, map_arrow, release, staged, unstage
+from terrace.llm.common import components, map_arrow, release, staged, text_slices, unstage
 
 
 def simhash_of(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -23,7 +23,11 @@ def simhash_of(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     else:
         rows = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in rows), np.uint64)
+    return majority(np.fromiter((digest(s, seed) for s in rows), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -31,6 +35,9 @@ def simhash_of(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+BATCH_BYTES = 1 << 21
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id_col and fp (the 64-bit fingerprint as a signed long) of every row.
 
@@ -83,33 +90,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(of, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LANES, LANE_BITS = 8, 32
-"""Lanes of a wide fingerprint, and bits of each."""
-
-
-def wide_simhash(text: bytes | None, shingle: int = 5) -> np.ndarray:
-    """LANES * LANE_BITS bits as unsigned 64-bit words: one SimHash over as many independent hashes of each distinct word shingle. Words and short texts as in simhash_of."""
-    words = (text or b"").lower().split()
-    rows = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in rows), np.uint64))
-    out = []
-    for k in range(LANES * LANE_BITS // 64):
-        x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(x), 1 << 16):
-            ones += np.unpackbits(x[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big"))
-    return np.array(out, np.uint64)
-
-
-def most_bits(similarity: float) -> int:
-    """Bits of a wide fingerprint that differ for two shingle sets of equal size at this Jaccard similarity: the angle between them over pi."""
-    return int(LANES * LANE_BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 SAMPLE, COMMON, MOST_COMMON, BLOCK = 16, 3, 200_000, 512
 """One text of SAMPLE is read for shingles that are common: in COMMON or more of them, the MOST_COMMON most frequent at most. Texts of a block."""
 
@@ -134,7 +114,11 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample (th, text), sorted, and their counts. Any answer gives the same links: it only decides which shingles texts meet by."""
 
     def make():
-        return lambda b: pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, shingle) for t in b.column(0).to_pylist()]))], names=["token"])
+        def f(b: pa.RecordBatch):
+            for lo, hi in text_slices(b.column(0), BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, shingle) for t in b.column(0).slice(lo, hi - lo).to_pylist()]))], names=["token"])
+
+        return f
 
     some = map_arrow(docs.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).dropDuplicates(["th"]).select("text"), "token long", make)
     top = some.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON).toPandas().sort_values("token")
@@ -147,19 +131,47 @@ def _enough(similarity: float, x: str, y: str):
     return left * (1 + similarity) + 1e-9 >= similarity * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
+PARITY_WORDS = 16
+"""64-bit words of a parity sketch."""
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_WORDS cells of hash values whether an odd number of the set's hashes lies in it: two sets differ in as many hashes at least as their parities in bits."""
+    odd = np.bincount(hashes & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(similarity: float, x: str, y: str):
+    """False only for sets (n: shingles, odd: parities) whose difference is too large for the similarity."""
+    bits = sum((F.bit_count(F.get(f"{x}.odd", F.lit(i)).bitwiseXOR(F.get(f"{y}.odd", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    return bits * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-9
+
+
+def _ball(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked by ball hashing, enough to connect all of them."""
+    of = staged(classes.groupBy("fp").agg(F.min("node").alias("rep")), "neardup-fingerprints")
+    same = classes.join(of, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = linked_pairs(of.select("fp")).join(of.select(F.col("fp").alias("a"), F.col("rep").alias("of_a")), "a").join(of.select(F.col("fp").alias("b"), F.col("rep").alias("of_b")), "b")
+    return same.union(near.select("of_a", "of_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have shingle sets at the similarity: both are made again from the texts and compared."""
+    """The pairs (a, b) whose texts have shingle sets at the similarity: by their parities first, then both sets are made again from the texts and compared."""
 
     def make():
         seen = set()
 
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            new = {n: t for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if n not in seen}
-            seen.update(new)
-            return pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([shingles(t, shingle) for t in new.values()], pa.list_(pa.int64()))], names=["node", "hashes"])
+        def f(b: pa.RecordBatch):
+            for lo, hi in text_slices(b.column(1), BATCH_BYTES):
+                part = b.slice(lo, hi - lo)
+                new = {n: t for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if n not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([shingles(t, shingle) for t in new.values()], pa.list_(pa.int64()))], names=["node", "hashes"])
 
         return f
 
+    of = lambda n: classes.select(F.col("node").alias(n), F.struct("n", "odd").alias(f"of_{n}"))
+    pairs = staged(pairs.join(of("a"), "a").join(of("b"), "b").where(_may_link(similarity, "of_a", "of_b")).select("a", "b"), "neardup-likely")
     some = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "least.id", "least.th"), "neardup-compared")
     texts = docs.join(some, ["id", "th"]).select("node", "text")
     sets = staged(map_arrow(texts, "node long, hashes array<long>", make), "neardup-sets")
@@ -168,30 +180,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     both = F.size(F.array_intersect("of_a", "of_b"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(both + 1e-9 >= similarity * (F.size("of_a") + F.size("of_b") - both))
     out = staged(links.select("a", "b"), "neardup-links")
-    unstage(sets)
-    unstage(some)
+    for x in (pairs, sets, some):
+        unstage(x)
     return out
 
 
 def _crossing(posts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of posts (token, node, n, pos, root) with a common token and different roots that may be at the similarity, made in blocks of about BLOCK texts."""
+    """The pairs (a, b) of posts (token, node, n, pos, odd, root) with a common token and different roots that may be at the similarity by places, sizes and parities; looked for in blocks of about BLOCK texts."""
     w = Window.partitionBy("token")
     open_ = posts.withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("int")).withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo != hi")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.struct("node", "n", "pos", "root", "mine").alias("x"))
+    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.struct("node", "n", "pos", "odd", "root", "mine").alias("x"))
     dealt = staged(dealt, "neardup-open")
     met = dealt.join(dealt.withColumnRenamed("x", "y"), ["token", "i", "j"])
-    met = met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("i") == F.col("j")) | (F.col("x.mine") != F.col("y.mine"))) & _enough(similarity, "x", "y"))
+    met = met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("i") == F.col("j")) | (F.col("x.mine") != F.col("y.mine"))) & _enough(similarity, "x", "y") & _may_link(similarity, "x", "y"))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, one for each class of near-duplicates: that with the smallest id (null first), then the smallest text hash, then the smallest row.
 
-    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, and classes are the components of these links. No link is missed and none is estimated: two such
-    sets share one of their first shingles in any one order of all shingles, so texts meet by those, and pairs that meet are verified on their whole sets. Common shingles come last in that order.
-    Where many meet, each is compared with the smallest and the largest node first; then all pairs that are still in different components are, in blocks.
+    Texts are linked if their `shingle`-word shingle sets have a Jaccard similarity of `similarity` or more, and classes are the components of these links. No link is missed and none is estimated.
+    SimHash fingerprints of the sets meet by ball hashing first, and the pairs that collide are verified on their whole sets. A fingerprint of 64 bits can't find all texts at the similarity, so there is an exact
+    way for the rest: two such sets share one of their first shingles in any one order of all shingles, so texts meet by those. Common shingles come last in that order.
+    Where many meet, each is compared with the smallest and the largest node first; then all that are still in different components are, in blocks that pass on only those that sizes, places and parities of the sets allow.
     Texts with equal sets share a node. Texts without words are copies of each other. Columns of any name are kept. An empty table gives an empty one.
     """
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(5)).alias("th")]
@@ -201,20 +214,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def make():
         seen = set()
 
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sizes, first = [], [], []
+        def f(b: pa.RecordBatch):
+            for lo, hi in text_slices(b.column(2), BATCH_BYTES):
+                yield of(b.slice(lo, hi - lo))
+
+        def of(b: pa.RecordBatch) -> pa.RecordBatch:
+            nodes, sizes, first, fp, odd = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t, shingle)
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 sizes.append(len(h))
-                first.append(None if nodes[-1] in seen else prefix(h, similarity, common, counts))
+                new = nodes[-1] not in seen
                 seen.add(nodes[-1])
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "th", "node", "n", "first"])
+                first.append(prefix(h, similarity, common, counts) if new else None)
+                fp.append(majority(h.view(np.uint64)) if new else None)
+                odd.append(parities(h) if new else None)
+            fp = pa.array([None if x is None else x - (x >> 63 << 64) for x in fp], pa.int64())
+            node, lists = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array(sizes, pa.int32()), pa.array(first, lists), fp, pa.array(odd, lists)], names=["id", "th", "node", "n", "first", "fp", "odd"])
 
         return f
 
-    found = staged(map_arrow(texts, "id long, th long, node long, n int, first array<long>", make), "neardup-rows")
-    classes = staged(found.groupBy("node").agg(F.min(F.struct("id", "th")).alias("least")), "neardup-classes")
+    found = staged(map_arrow(texts, "id long, th long, node long, n int, first array<long>, fp long, odd array<long>", make), "neardup-rows")
+    classes = staged(found.groupBy("node").agg(F.min(F.struct("id", "th")).alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("odd").alias("odd")), "neardup-classes")
     w = Window.partitionBy("token")
     post = F.struct("node", "n", "pos")
     posts = found.where("first is not null").select("node", "n", F.posexplode("first").alias("pos", "token"))
@@ -223,10 +245,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     unstage(found)
     release(docs.sparkSession)
     star = posts.select("x", F.explode(F.array("lo", "hi")).alias("y")).where((F.col("x.node") != F.col("y.node")) & _enough(similarity, "x", "y"))
-    star = staged(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "neardup-pairs")
+    star = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    star = staged(_ball(classes).union(star).distinct(), "neardup-pairs")
+    release(docs.sparkSession)
     links = _verified(star, classes, texts, shingle, similarity)
     roots = components(links)
-    posts = posts.select("token", "x.*").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    posts = posts.select("token", "x.*").join(classes.select("node", "odd"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = staged(_crossing(posts, similarity).join(star, ["a", "b"], "left_anti"), "neardup-rest")
     release(docs.sparkSession)
     roots = components(links.union(_verified(rest, classes, texts, shingle, similarity)))
