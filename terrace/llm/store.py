@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.bpe import encoder
-from terrace.llm.common import bucket_offsets, map_arrow, slices
+from terrace.llm.common import bucket_offsets, map_arrow, text_slices
+from terrace.storage import with_row_id
 
 WINDOW, LEAST, CUT_BITS, MOST = 8, 64, 8, 2048
 """Ids that the rolling hash sees; ids in a chunk at least; a place is a cut if so many bits of its hash are 0; ids in a chunk at most."""
@@ -20,6 +21,8 @@ MIXED = (np.arange(1 << 16, dtype=np.uint32) + np.uint32(1)) * np.uint32(0x85EBC
 MIXED ^= MIXED >> np.uint32(15)
 ROLL = [np.uint32(pow(0x9E3779B1, i, 1 << 32)) for i in range(WINDOW)]
 BATCH_CHARS = 1 << 20
+FAN = 1024
+"""Documents of a part, and children of a node of the manifest's tree, at most."""
 SEEN = 1 << 18
 """Digests that a task remembers, so as not to send a chunk again."""
 
@@ -71,10 +74,12 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
         seen: set[bytes] = set()
 
         def f(b: pa.RecordBatch):
-            ids, rid, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lo, hi in slices([len(t) if t else 0 for t in texts], BATCH_CHARS):
-                streams = [enc.encode_bytes(t or "") + end for t in texts[lo:hi]]
+            ids, rid = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi in text_slices(b.column(2), BATCH_CHARS):
+                streams = [enc.encode_bytes(t or "") + end for t in b.column(2).slice(lo, hi - lo).to_pylist()]
                 stream = np.frombuffer(b"".join(streams), "<u4")
+                if stream.max(initial=0) > 0xFFFF:
+                    raise ValueError("a token id takes more than 16 bits")
                 data, places = stream.astype("<u2").tobytes(), rolling(stream)
                 ends = np.cumsum([len(s) // 4 for s in streams])
                 inside = np.searchsorted(places, ends, "left").tolist()
@@ -108,38 +113,90 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
 def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode docs (null texts as empty), append end_id to each, and write the store below `out`, a folder that all executors share.
 
-    stage/kind=chunk/: each distinct chunk once (key, body, n), found by key. recipes/: in ascending order of id (null first, equal ids by their recipe), files by range `part`:
-    doc_id, start (ids of all documents before it), n_tokens, root (Merkle root of its chunks' keys), body. manifest/: for each part the number of documents and ids and
-    the Merkle root of its documents' roots. One shuffle moves each chunk that a task hasn't sent yet (so a chunk comes once from each task, however many documents share it), and only behind it are rows sorted by key; recipes are small. Token ids must be under 65,536. Repeated rows have a recipe each.
+    stage/kind=chunk/: each distinct chunk once (key, body, n), found by key. recipes/: in ascending order of id (null first, equal ids by their recipe): part (FAN documents each), nth in it,
+    doc_id, start (ids of all documents before it), n_tokens, root (Merkle root of its chunks' keys), body. manifest/level=0: for each part the number of documents and ids and
+    the Merkle root of its documents' roots; level=1 and so on: the same of FAN nodes below, up to one node, whose root stands for the whole store. No task holds more than FAN roots.
+    One shuffle moves each chunk that a task hasn't sent yet (so a chunk comes once from each task, however many documents share it), and only behind it are rows sorted by key; recipes are small.
+    A token id of 65,536 or more raises. Repeated rows have a recipe each.
     """
     spark = docs.sparkSession
     rows = chunked(docs, path, end_id, id_col, text_col)
     rows.repartition("key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/stage")
     staged = spark.read.schema("key binary, body binary, n long, doc_id long, root binary, kind string").parquet(f"{out}/stage")
-    recipes = staged.where("kind = 'recipe'").drop("kind")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(recipes.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.coalesce(F.col("doc_id"), F.lit(-(2**62))).cast("double"))) if bounds else F.lit(0)
-    recipes = recipes.withColumn("part", part)
+    recipes = with_row_id(staged.where("kind = 'recipe'").drop("kind"), ["doc_id", "root", "key"], "at")
+    recipes = recipes.withColumn("part", F.expr(f"at div {FAN}")).withColumn("nth", F.col("at") % FAN)
     before = bucket_offsets(recipes, [], "part", {"base": "n"})
-    w = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "body", "key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recipes.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("nth", F.count("*").over(w)).join(before, "part")
-    placed = placed.select("part", "doc_id", (F.col("base") + F.col("inner")).alias("start"), F.col("n").alias("n_tokens"), "root", "body", "nth")
-    placed.repartition("part").sortWithinPartitions("part", "nth").write.partitionBy("part").parquet(f"{out}/recipes")
+    w = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = recipes.withColumn("inner", F.coalesce(F.sum("n").over(w), F.lit(0))).join(before, "part")
+    placed.select("part", "nth", "doc_id", (F.col("base") + F.col("inner")).alias("start"), F.col("n").alias("n_tokens"), "root", "body").write.parquet(f"{out}/recipes")
 
-    def roots():
+    nodes, level = _nodes(read_recipes(spark, out).select("part", "nth", F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root")), 0
+    while True:
+        nodes.write.parquet(f"{out}/manifest/level={level}")
+        nodes = _level(spark, out, level)
+        if nodes.count() <= 1:
+            return
+        nodes, level = _nodes(_children(nodes)), level + 1
+
+
+def _nodes(children: DataFrame) -> DataFrame:
+    """node, n_docs, n_tokens, root (Merkle root of the children's, by nth) of rows (part, nth, n_docs, n_tokens, root): FAN children of a part at most."""
+
+    def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [merkle([r["root"] for r in sorted(x, key=lambda r: r["nth"])]) for x in b.column(3).to_pylist()]
-            return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
+            found = [merkle([r["root"] for r in x]) for x in b.column(3).to_pylist()]
+            return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], names=["node", "n_docs", "n_tokens", "root"])
 
         return f
 
-    per = read_recipes(spark, out).groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct("nth", "root")).alias("roots"))
-    map_arrow(per, "part int, n_docs long, n_tokens long, root binary", roots).write.parquet(f"{out}/manifest")
+    per = children.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("nth", "root"))).alias("roots"))
+    return map_arrow(per, "node long, n_docs long, n_tokens long, root binary", make)
+
+
+def _children(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.expr(f"node div {FAN}").alias("part"), (F.col("node") % FAN).alias("nth"), "n_docs", "n_tokens", "root")
+
+
+def _level(spark: SparkSession, out: str, level: int) -> DataFrame:
+    return spark.read.schema("node long, n_docs long, n_tokens long, root binary").parquet(f"{out}/manifest/level={level}")
+
+
+def verify(spark: SparkSession, out: str) -> None:
+    """Raises unless every document's root and count are those of its recipe, the starts follow each other, and each node of the manifest is that of what lies below it, up to the top.
+
+    So a chunk that is exchanged, left out or doubled in a recipe, a recipe that is lost, doubled or moved, and a changed manifest are found; what a chunk holds is held against its key where it is read.
+    """
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            for n, root, body in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(6).to_pylist()):
+                if merkle([body[i : i + 32] for i in range(0, len(body), 36)]) != root or sum(int.from_bytes(body[i + 32 : i + 36], "little") for i in range(0, len(body), 36)) != n:
+                    raise ValueError("a recipe doesn't match its root")
+            return pa.RecordBatch.from_arrays([*b.columns[:3], b.column(3), b.column(4)], names=["part", "nth", "n_docs", "n_tokens", "root"])
+
+        return f
+
+    recipes = read_recipes(spark, out)
+    found = map_arrow(recipes.select("part", "nth", F.lit(1).cast("long").alias("n_docs"), "n_tokens", "root", "start", "body"), "part long, nth long, n_docs long, n_tokens long, root binary", make)
+    level = 0
+    while True:
+        made, said = _nodes(found), _level(spark, out, level)
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("n_docs", "n_tokens", "root")]
+        if made.alias("a").join(said.alias("b"), F.col("a.node") == F.col("b.node"), "full").where(~(same[0] & same[1] & same[2])).limit(1).count():
+            raise ValueError("the manifest doesn't match its documents")
+        if said.count() <= 1:
+            break
+        found, level = _children(said), level + 1
+    w = Window.partitionBy("part").orderBy("nth")
+    steps = recipes.withColumn("was", F.lag(F.col("start") + F.col("n_tokens")).over(w)).withColumn("last", F.lag("nth").over(w))
+    base = bucket_offsets(recipes, [], "part", {"base": "n_tokens"})
+    wrong = steps.join(base, "part").where((F.col("start") != F.coalesce("was", "base")) | (F.col("nth") != F.coalesce(F.col("last") + 1, F.lit(0))))
+    if wrong.limit(1).count():
+        raise ValueError("a document doesn't start where the one before it ends")
 
 
 def read_recipes(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, root binary, body binary, nth long, part int").parquet(f"{out}/recipes")
+    return spark.read.schema("part long, nth long, doc_id long, start long, n_tokens long, root binary, body binary").parquet(f"{out}/recipes")
 
 
 def read_chunks(spark: SparkSession, out: str) -> DataFrame:
@@ -154,7 +211,8 @@ def _parts(recipes: DataFrame) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array) of every document, rebuilt from its chunks; a chunk that doesn't hash to its key or is missing, or a wrong count, raises."""
+    """doc_id, start, n_tokens, ids (array) of every document, rebuilt from its chunks; a chunk that doesn't hash to its key or is missing, a wrong count, and all that verify finds raise."""
+    verify(spark, out)
     recipes, chunks = read_recipes(spark, out), read_chunks(spark, out)
     good = chunks.select("key", F.when(F.unhex(F.sha2("body", 256)) == F.col("key"), F.col("body")).otherwise(F.raise_error(F.lit("a chunk doesn't match its key"))).alias("chunk"))
     bodies = _parts(recipes).join(good, "key", "left").groupBy("part", "nth").agg(F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("chunks"))
@@ -223,8 +281,9 @@ def digests(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
     Every chunk is read, held against its key, and its crc32 (of the ids as 4 bytes each) taken where it lies; a document's crc32 is composed from those of its chunks.
-    So the ids themselves, read in full, aren't moved again, and a chunk that thousands of documents share is looked at once.
+    So the ids themselves, read in full, aren't moved again, and a chunk that thousands of documents share is looked at once. Recipes and manifest are verified first.
     """
+    verify(spark, out)
 
     def check():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,8 +1,10 @@
 import random
+import shutil
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrace.llm import store
 from terrace.llm.bpe import encoder
@@ -77,7 +79,7 @@ def test_round_trip(spark, tmp_path):
     chunks = store.read_chunks(spark, out).collect()
     assert len({bytes(c.key) for c in chunks}) == len(chunks)
     assert sum(c.n for c in chunks) < sum(w[2] for w in want) * 0.55
-    manifest = spark.read.parquet(f"{out}/manifest").collect()
+    manifest = spark.read.parquet(f"{out}/manifest").where("level = 0").collect()
     assert sum(m.n_docs for m in manifest) == len(texts) and sum(m.n_tokens for m in manifest) == sum(w[2] for w in want)
 
 
@@ -85,12 +87,52 @@ def test_tampering_is_found(spark, tmp_path):
     out = f"file://{tmp_path}/store"
     store.write(frame(spark, ["one two three", "four five"]), out, tokenizer_path(BYTE))
     chunks = store.read_chunks(spark, out).selectExpr("key", "cast(concat(body, body) as binary) body", "n")
-    bad = f"file://{tmp_path}/bad"
-    chunks.write.parquet(f"{bad}/stage/kind=chunk")
-    store.read_recipes(spark, out).write.partitionBy("part").parquet(f"{bad}/recipes")
+    bad = f"{tmp_path}/bad"
+    shutil.copytree(f"{tmp_path}/store", bad)
+    shutil.rmtree(f"{bad}/stage")
+    chunks.write.parquet(f"file://{bad}/stage/kind=chunk")
     for read in (store.read_ids, store.digests):
         with pytest.raises(Exception, match="doesn't match its key"):
-            read(spark, bad).collect()
+            read(spark, f"file://{bad}").collect()
+
+
+def test_changed_recipes_and_manifests_are_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FAN", 2)
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(600)) for _ in range(5)]
+    good = f"{tmp_path}/store"
+    store.write(frame(spark, texts), f"file://{good}", tokenizer_path(BYTE))
+    assert store.digests(spark, f"file://{good}").count() == 5
+    levels = spark.read.parquet(f"file://{good}/manifest").groupBy("level").count().orderBy("level").collect()
+    assert [tuple(r) for r in levels] == [(0, 3), (1, 2), (2, 1)]
+    recipes = store.read_recipes(spark, f"file://{good}")
+    body = "IF(doc_id = 1, {}, body)"
+    swapped = recipes.withColumn("body", F.expr(body.format("concat(substring(body, 37, 36), substring(body, 1, 36), substring(body, 73))")))
+    dropped = recipes.withColumn("body", F.expr(body.format("substring(body, 37)")))
+    doubled = recipes.withColumn("body", F.expr(body.format("concat(substring(body, 1, 36), body)")))
+    other = recipes.withColumn("root", F.expr("IF(doc_id = 1, unhex(sha2('x', 256)), root)"))
+    shifted = recipes.withColumn("start", F.expr("start + doc_id"))
+    lost, twice = recipes.where("doc_id != 4"), recipes.union(recipes.where("doc_id = 1"))
+    for i, bad in enumerate((swapped, dropped, doubled, other, shifted, lost, twice)):
+        at = f"{tmp_path}/bad{i}"
+        shutil.copytree(good, at)
+        shutil.rmtree(f"{at}/recipes")
+        bad.write.parquet(f"file://{at}/recipes")
+        with pytest.raises(Exception, match="doesn't match|doesn't start"):
+            store.verify(spark, f"file://{at}")
+    for level in (0, 1, 2):
+        at = f"{tmp_path}/level{level}"
+        shutil.copytree(good, at)
+        shutil.rmtree(f"{at}/manifest/level={level}")
+        nodes = store._level(spark, f"file://{good}", level).withColumn("root", F.expr("IF(node = 0, unhex(sha2('x', 256)), root)"))
+        nodes.write.parquet(f"file://{at}/manifest/level={level}")
+        with pytest.raises(Exception, match="manifest doesn't match"):
+            store.verify(spark, f"file://{at}")
+
+
+def test_ids_that_need_more_than_16_bits_raise(spark, tmp_path):
+    with pytest.raises(Exception, match="16 bits"):
+        store.write(frame(spark, ["a"]), f"file://{tmp_path}/wide", tokenizer_path(BYTE), end_id=1 << 16)
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark, tmp_path):
