@@ -11,18 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import map_arrow, slices, without
+from terrace.llm.common import map_arrow, slices, text_slices, without
 
 NGRAMS = (1, 2, 3, 4)
 SLOTS, PROBES = 1 << 20, 2
-"""Slots of the filter, each a bit mask of languages (8 MB in all, whatever the input), and slots that a gram sets in each."""
+"""Slots of the filter, each a bit mask of languages (8 MB for every 64 of them, whatever the input), and slots that a gram sets in each."""
 DOCS_PER_LANGUAGE = 3000
 """Labelled documents that the filter is fitted on, for each language, on average at most."""
-GRAMS_PER_LANGUAGE = 50_000
 LEAST_COUNT, LEAST_SHARE = 3, 0.2
 """A language contains a gram that its sample has at least so often, and at least this part as frequently as the language where it is most frequent."""
 UNDECIDED = "und"
-MOST_LANGUAGES = 64
 
 
 @lru_cache(maxsize=1)
@@ -72,26 +70,30 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Filter:
-    """languages: bit i of a slot's mask stands for the i-th; set_share: the share of slots that each has set."""
+    """languages: bit i % 64 of a slot's mask word i // 64 stands for the i-th (masks: a row of slots for each word); set_share: the share of slots that each has set."""
 
     languages: list[str]
     masks: np.ndarray
     set_share: np.ndarray
 
+    @staticmethod
+    def of_masks(languages: list[str], masks: np.ndarray) -> Filter:
+        share = np.array([float((masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()) for i in range(len(languages))])
+        return Filter(languages, masks, share)
+
     @staticmethod
     def of(languages: list[str], rows: dict[str, np.ndarray], slots: int = SLOTS) -> Filter:
-        masks = np.zeros(slots, np.uint64)
+        masks = np.zeros((-(-max(1, len(languages)) // 64), slots), np.uint64)
         for i, name in enumerate(languages):
             for at in places(rows.get(name, np.zeros(0, np.uint64)), slots):
-                masks[at] |= np.uint64(1 << i)
-        share = np.array([float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
-        return Filter(languages, masks, share)
+                masks[i // 64, at] |= np.uint64(1 << i % 64)
+        return Filter.of_masks(languages, masks)
 
     def contains(self, h: np.ndarray) -> np.ndarray:
-        """For each gram the mask of all languages that contain it (and, falsely, of others with chance set_share ** PROBES)."""
+        """For each mask word and gram the mask of all languages that contain it (and, falsely, of others with chance set_share ** PROBES)."""
         out = None
-        for at in places(h, len(self.masks)):
-            out = self.masks[at] if out is None else out & self.masks[at]
+        for at in places(h, self.masks.shape[1]):
+            out = self.masks[:, at] if out is None else out & self.masks[:, at]
         return out
 
     def decide(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -102,7 +104,7 @@ class Filter:
             masks, starts = self.contains(h), np.concatenate(([0], np.cumsum(each)))
             counts += each
             for i in range(len(self.languages)):
-                ones = np.concatenate(([0], np.cumsum((masks >> np.uint64(i)).astype(np.uint8) & 1, dtype=np.int32)))
+                ones = np.concatenate(([0], np.cumsum((masks[i // 64] >> np.uint64(i % 64)).astype(np.uint8) & 1, dtype=np.int32)))
                 hits[:, i] += ones[starts[1:]] - ones[starts[:-1]]
         corrected = np.clip((hits - counts[:, None] * wrong) / np.maximum(1 - wrong, 1e-9), 0, None)
         out = []
@@ -123,12 +125,11 @@ def places(h: np.ndarray, slots: int) -> list[np.ndarray]:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> Filter:
     """A filter fitted on a bounded sample of the rows with a language and a text: `docs_per_language` for each language on average, chosen by the hash of id and text.
 
-    Only counts of the sample's grams are gathered, at most GRAMS_PER_LANGUAGE of each language; more than 64 languages are refused.
+    A language has the sample's grams that are frequent enough (LEAST_COUNT, LEAST_SHARE), all of them. They set their slots where they are counted: only the filter itself, of fixed size for
+    every 64 languages, is gathered. Any number of languages will do. Without a labelled row nothing is learned.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not totals:
         return Filter.of([], {})
     share = F.element_at(F.create_map(*(F.lit(x) for t in totals for x in (t.lang, min(1.0, docs_per_language / t.n)))), F.col("lang"))
@@ -136,23 +137,30 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
     def make():
         def f(b: pa.RecordBatch):
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                own = [t for x, t in zip(langs, texts) if x == lang]
-                for lo, hi in slices([len(t) for t in own], 1 << 20):
-                    h, n = np.unique(np.concatenate([h for h, _ in grams(own[lo:hi])]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for a, z in text_slices(b.column(1), 1 << 22):
+                langs, texts = b.column(0).slice(a, z - a).to_pylist(), b.column(1).slice(a, z - a).to_pylist()
+                for lang in sorted(set(langs)):
+                    own = [t for x, t in zip(langs, texts) if x == lang]
+                    yield from counted(lang, own)
+
+        def counted(lang, own):
+            for lo, hi in slices([len(t) for t in own], 1 << 20):
+                h, n = np.unique(np.concatenate([h for h, _ in grams(own[lo:hi])]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
         return f
 
     counts = map_arrow(sample.select("lang", "text"), "lang string, gram long, n long", make).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    rate = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("rate", F.col("n") / F.col("all"))  # one row for each of at most 64 languages
+    rate = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("rate", F.col("n") / F.col("all"))  # one row for each language
     kept = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_SHARE * F.col("top")))
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("nth") <= GRAMS_PER_LANGUAGE)
-    table = kept.select("lang", "gram").toArrow()
-    names, hashes = np.array(table["lang"].to_pylist(), object), table["gram"].to_numpy().view(np.uint64)
-    languages = [t.lang for t in totals]
-    return Filter.of(languages, {x: hashes[names == x] for x in languages})
+    languages, bits = [t.lang for t in totals], SLOTS.bit_length() - 1
+    nth = F.element_at(F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i))), F.col("lang"))
+    slot = F.explode(F.array(*(F.shiftrightunsigned("gram", 64 - bits * (p + 1)).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for p in range(PROBES))))
+    sliced = kept.select(nth.alias("nth"), slot.alias("slot")).groupBy(F.expr("nth div 64").cast("int").alias("word"), "slot").agg(F.expr("bit_or(shiftleft(1L, nth % 64))").alias("mask"))
+    table = sliced.toArrow()  # SLOTS rows for every 64 languages at most
+    masks = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
+    masks[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
+    return Filter.of_masks(languages, masks)
 
 
 def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -166,8 +174,7 @@ def identify(docs: DataFrame, model: Filter, text_col: str = "text", keep: list[
 
     def make():
         def f(b: pa.RecordBatch):
-            sizes = [len(t) if t else 0 for t in b.column(0).to_pylist()]
-            for lo, hi in slices(sizes, 1 << 19):
+            for lo, hi in text_slices(b.column(0), 1 << 19):
                 part = b.slice(lo, hi - lo)
                 got = shared.value.decide([t or "" for t in part.column(0).to_pylist()])
                 cols = [*part.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
