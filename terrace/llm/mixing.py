@@ -10,8 +10,24 @@ from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, staged
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK_WORDS, SHARDS, SEED = 4096, 64, 20
-PRIMES = (1000000007, 1000000009, 998244353)  # fixed values: steps of the block permutation; one that doesn't divide the number of blocks
+ROUNDS = 24
+"""Rounds of the block permutation."""
 ROWS_PER_BUCKET = 20_000
+RANGES = 1024
+"""Stretches of a shard's shuffled order, each a task's at most."""
+
+
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """The place of x in a permutation of 0 to n - 1 that the key picks: a swap-or-not shuffle (Hoang, Morris, Rogaway 2012), of any n and without a table.
+
+    Each round pairs x with k - x for a round's own k and swaps the two or leaves them by a bit that both share, so each round, and all of them, lose no place.
+    """
+
+    def step(a, r):
+        other = F.pmod(F.xxhash64(*key, r) - a, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(a, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -127,8 +143,7 @@ def _drawn(docs, id_col, text_col, source_col, keep, weights=WEIGHTS, share=SHAR
     totals = staged(totals.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long")), "mix-sources")
     parts = split_quotas(totals, shards, seed)
     ends = parts.withColumn("end", F.sum("blocks").over(Window.partitionBy("nth").orderBy("shard"))).groupBy("nth").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    primes = F.array(*(F.lit(p).cast("long") for p in PRIMES))
-    plan = staged(totals.join(ends, "nth").withColumn("prime", F.coalesce(F.get(F.filter(primes, lambda p: F.col("blocks") % p != 0), 0), F.lit(1).cast("long"))).withColumn("shift", F.coalesce(F.try_mod(F.abs(F.xxhash64(F.lit(seed), F.col("nth")) % 1_000_000), F.col("blocks")), F.lit(0))), "mix-plan")
+    plan = staged(totals.join(ends, "nth"), "mix-plan")
 
     within = Window.partitionBy("source", "bucket").orderBy("h", "kept.id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     line = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -144,7 +159,7 @@ def _drawn(docs, id_col, text_col, source_col, keep, weights=WEIGHTS, share=SHAR
 
     def of(t):
         blocks = F.sequence(F.floor(t["lo"] / block_words), F.floor((t["hi"] - 1) / block_words))
-        return F.transform(blocks, lambda b: F.struct(t["pass"].alias("pass"), b.alias("block"), F.pmod(b * F.col("prime") + F.col("shift"), F.col("blocks")).alias("line"), (F.greatest(b * block_words, t["lo"]) - t["lo"]).alias("word_from"), (F.least((b + 1) * block_words, t["hi"]) - t["lo"]).alias("word_to")))
+        return F.transform(blocks, lambda b: F.struct(t["pass"].alias("pass"), b.alias("block"), permuted(b, F.col("blocks"), F.lit(seed), F.col("nth")).alias("line"), (F.greatest(b * block_words, t["lo"]) - t["lo"]).alias("word_from"), (F.least((b + 1) * block_words, t["hi"]) - t["lo"]).alias("word_to")))
 
     df = df.withColumn("cut", F.flatten(F.transform(taken, of)))
     pieces = F.transform(
@@ -162,16 +177,17 @@ def taken_words(pieces: str = "pieces") -> Column:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: the columns of docs and shard, slot, position; a row for each piece, its text cut to the piece's words, each shard's rows in one shuffled order.
+    """The mix itself: the columns of docs and shard, slot, position; a row for each piece, its text cut to the piece's words, each shard's rows in one shuffled order by position.
 
     A piece that is a whole document keeps its text as it is; of others the words of the piece are kept with the white space between them.
-    Columns of docs named shard, slot or position give way. position orders a shard's rows: by the hash of seed, shard, id, pass and first word, so a shard is shuffled within itself.
+    Columns of docs named shard, slot or position give way. position orders a shard's rows: the hash of seed, shard, id, pass and first word. One shuffle
+    brings rows that are near in this order together, in RANGES stretches of each shard, and they are sorted where they lie, so a shard is shuffled within itself, whichever documents stood side by side.
     """
     df = _drawn(docs, id_col, text_col, source_col, docs.columns, seed=seed, **options).select("kept", "size", F.explode("pieces").alias("p"))
     text = cut_words(F.col(f"kept.`k_{text_col}`"), F.col("p.word_from"), F.col("p.word_to"), F.col("size"))
     order = F.xxhash64(F.lit(seed), F.col("p.shard"), F.col("kept.id"), F.col("p.pass"), F.col("p.word_from"))
     columns = without(docs.columns, "shard", "slot", "position")
-    return df.select(*((text if c == text_col else F.col(f"kept.`k_{c}`")).alias(c) for c in columns), F.col("p.shard").alias("shard"), F.col("p.slot").alias("slot"), order.alias("position"))
+    return df.select(*((text if c == text_col else F.col(f"kept.`k_{c}`")).alias(c) for c in columns), F.col("p.shard").alias("shard"), F.col("p.slot").alias("slot"), order.alias("position")).repartition("shard", hash_bucket(F.col("position"), RANGES)).sortWithinPartitions("shard", "position")
 
 
 def cut_words(text: Column, first: Column, end: Column, size: Column) -> Column:

@@ -84,6 +84,21 @@ def test_hypergeometric_inverts_the_distribution(spark):
         assert r.x == want, r
 
 
+def test_blocks_are_permuted_by_the_seed(spark):
+    sizes = [1, 2, 3, 10, 64, 997]
+    rows = spark.createDataFrame([(n, x) for n in sizes for x in range(n)], "n long, x long")
+    at = {}
+    for seed in (1, 2):
+        got = rows.withColumn("y", mixing.permuted(F.col("x"), F.col("n"), F.lit(seed), F.lit(3))).collect()
+        for n in sizes:
+            at[seed, n] = [r.y for r in sorted(got, key=lambda r: r.x) if r.n == n]
+            assert sorted(at[seed, n]) == list(range(n))
+    a, b = at[1, 997], at[2, 997]
+    assert sum(x == y for x, y in zip(a, b)) < 12
+    for p in (a, b):  # neither a rotation nor steps of one length
+        assert max(Counter((y - x) % 997 for x, y in zip(p, p[1:])).values()) < 12 and max(Counter((y - x) % 997 for x, y in enumerate(p)).values()) < 12
+
+
 def test_quotas_split_exactly(spark):
     quotas = [(i, q) for i, q in enumerate([100000, 0, 1, 5, 333, 64])]
     rows = mixing.split_quotas(spark.createDataFrame(quotas, "nth int, blocks long"), 16, 1).collect()
@@ -102,6 +117,8 @@ def test_mix_gives_whole_texts_and_cut_ones(spark):
     assert set(df.columns) < set(rows[0].asDict())
     for r in rows:
         assert r.text and r.text in texts[r.doc_id] and r.fp == r.doc_id
+    for part in mixing.mixed(df, block_words=64, shards=8).select("shard", "position").rdd.glom().collect():
+        assert part == sorted(part)
 
 
 def test_edges(spark):
