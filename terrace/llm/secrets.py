@@ -28,10 +28,10 @@ def candidates(text):
     same matches as dropping short ones, without listing every letter from a to f. Splitting and extracting by one pattern see the same matches.
     """
 
-
     def of(i, pattern, group, least):
         p = F.lit(pattern)
-        hits, counts = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
+        hits = F.regexp_extract_all(text, p, F.lit(0))
+        counts = F.regexp_extract_all(text, p, F.lit(group)) if group else hits
         zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), counts.alias("count"))
         rows = F.transform(
             F.filter(zipped, lambda x: x["hit"].isNotNull()),

@@ -116,6 +116,6 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     out = out.withColumn("rank", rank.cast("long")).join(starts, ["shard", "cell"])
     unstage(groups)
     return out.select(
-        F.col("kept.id").alias(id_col), *(F.col(f"kept.k_{c}").alias(c) for c in keep), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("kept.id").alias(id_col), *(F.col(f"kept.`k_{c}`").alias(c) for c in keep), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
