@@ -9,7 +9,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from terrace.llm.common import map_arrow, text_slices, without
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD_BYTES = 48 << 20
+WORD_BYTES = 32 << 20
 """Memory for the pre-tokens whose ids a worker remembers."""
 LEAF, SPREAD = 4096, 1 << 16
 """Code points of a leaf; a text of more than SPREAD has its leaves encoded in many tasks, a shorter one in its own. The ids are the same either way."""
@@ -147,12 +147,20 @@ class TreeEncoder:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.long = re.compile(r"\S{%d}" % (leaf + 1))
-        inner = {"version": spec["version"], "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
-        self.last = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"]}))
-        self.inner = Tokenizer.from_str(json.dumps(inner | {"model": spec["model"] | {"end_of_word_suffix": None}})) if self.suffix else self.last
-        self.name = self.last.id_to_token
-        self.pattern = splitting_pattern(spec)
-        self.words = Words(lambda w: self.tree(w) if len(w) > self.leaf else [t.id for t in self.last.model.tokenize(w)], leaf)
+        self.path, self.name, self.pattern = path, self.tok.id_to_token, splitting_pattern(spec)
+        model = self.tok.model
+        self.words = Words(lambda w: self.tree(w) if len(w) > self.leaf else [t.id for t in model.tokenize(w)], leaf)
+
+    @cached_property
+    def plain(self) -> tuple:
+        """Tokenizers of the model alone, for a piece that ends its pre-token and for one that doesn't; only pre-tokens of over a leaf need them."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bare = {"version": spec["version"], "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
+        last = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"]}))
+        return last, Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}})) if self.suffix else last
 
     def normalized(self, text: str) -> str | None:
         """The text as the pattern splits it; None if the pattern can't, or might not split it as the library does (special tokens, code points younger than the tables)."""
@@ -244,12 +252,11 @@ class TreeEncoder:
             text = self.tok.normalizer.normalize_str(text)
         ids: list[int] = []
         for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text):
-            ids += self.tree(piece) if len(piece) > self.leaf else self._bpe([piece], True)[0]
+            ids += self.tree(piece) if len(piece) > self.leaf else [t.id for t in self.tok.model.tokenize(piece)]
         return ids
 
     def _bpe(self, pieces: list[str], last: bool) -> list[list[int]]:
-        tok = self.last if last else self.inner
-        return [e.ids for e in tok.encode_batch(pieces, add_special_tokens=False)]
+        return [e.ids for e in self.plain[not last].encode_batch(pieces, add_special_tokens=False)]
 
     def tree(self, piece: str) -> list[int]:
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
@@ -276,7 +283,7 @@ class TreeEncoder:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return TreeEncoder(path, leaf)

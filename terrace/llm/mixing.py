@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, staged, without, word_count
+from terrace.llm.common import bucket_offsets, hash_bucket, power_of_two, release, staged, unstage, without, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -119,20 +119,20 @@ def draw(
     hash buckets whose offsets are summed first, so no task sorts a whole source. Reruns agree. An empty table gives an empty one.
     """
     keep = without(keep or [], id_col, "size", "source_size", "target", "pieces")
-    return _drawn(docs, id_col, text_col, source_col, keep, weights, share, most, block_words, shards, seed).select(
+    return _drawn(docs, id_col, text_col, source_col, keep, weights, share, most, block_words, shards, seed)[0].select(
         F.col("kept.id").alias(id_col), *(F.col(f"kept.`k_{c}`").alias(c) for c in keep), *([] if source_col in [id_col, *keep] else [F.col("source").alias(source_col)]), "size", "source_size", "target", "pieces"
     )
 
 
-def _drawn(docs, id_col, text_col, source_col, keep, weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED) -> DataFrame:
-    """kept (a struct of id and the columns to keep), source, size, source_size, target, pieces."""
+def _drawn(docs, id_col, text_col, source_col, keep, weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED) -> tuple[DataFrame, list[DataFrame]]:
+    """kept (a struct of id and the columns to keep), source, size, source_size, target, pieces; and the staged tables that this reads."""
     spark = docs.sparkSession
     text = F.col(text_col)
     rows = docs.select(
         F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"k_{c}") for c in keep)).alias("kept"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"), F.xxhash64(text).alias("tie"),
     )
-    rows = staged(rows, "mix-rows")
+    rows = made = staged(rows, "mix-rows")
     count = rows.count()
     buckets = power_of_two(max(count / ROWS_PER_BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions"))), 16)
     rows = rows.withColumn("bucket", hash_bucket(F.col("h"), buckets))
@@ -169,7 +169,7 @@ def _drawn(docs, id_col, text_col, source_col, keep, weights=WEIGHTS, share=SHAR
             lambda s: F.struct(c["pass"].alias("pass"), c["block"].alias("block"), s.alias("shard"), (c["line"] - F.when(s > 0, F.get("ends", s - 1)).otherwise(0)).alias("slot"), c["word_from"].alias("word_from"), c["word_to"].alias("word_to")),
         )[0],
     )
-    return df.select("kept", "source", "size", "source_size", "target", pieces.alias("pieces"))
+    return df.select("kept", "source", "size", "source_size", "target", pieces.alias("pieces")), [made, offsets, totals, plan]
 
 
 def taken_words(pieces: str = "pieces") -> Column:
@@ -183,7 +183,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Columns of docs named shard, slot or position give way. position orders a shard's rows: the hash of seed, shard, id, pass and first word. One shuffle
     brings rows that are near in this order together, in RANGES stretches of each shard, and they are sorted where they lie, so a shard is shuffled within itself, whichever documents stood side by side.
     """
-    df = _drawn(docs, id_col, text_col, source_col, docs.columns, seed=seed, **options).select("kept", "size", F.explode("pieces").alias("p"))
+    drawn, read = _drawn(docs, id_col, text_col, source_col, docs.columns, seed=seed, **options)
+    drawn = staged(drawn.select("kept", "size", "pieces"), "mix-drawn")
+    for x in read:
+        unstage(x)
+    release(docs.sparkSession)
+    df = drawn.select("kept", "size", F.explode("pieces").alias("p"))
     text = cut_words(F.col(f"kept.`k_{text_col}`"), F.col("p.word_from"), F.col("p.word_to"), F.col("size"))
     order = F.xxhash64(F.lit(seed), F.col("p.shard"), F.col("kept.id"), F.col("p.pass"), F.col("p.word_from"))
     columns = without(docs.columns, "shard", "slot", "position")
