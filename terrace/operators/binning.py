@@ -69,14 +69,14 @@ def bin_of(value: Column, cuts: list[float]) -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit(0).cast("short")).otherwise(tree(0, len(cuts)))
 
 
-COMPILED = 4096
-"""Comparisons in one projection up to which binning is compiled; beyond, Arrow batches are searched."""
+COMPILED, MOST_COMPILED = 32, 1024
+"""Cuts of a feature, and of all features, up to which binning is compiled with the plan; beyond, comparisons nest too deep for the compiler and Arrow batches are searched."""
 
 
 def assign_bins(df: DataFrame, features: list[str], cuts: np.ndarray, keep: list[str] | None = None, prefix: str = "b") -> DataFrame:
     """`keep` (default: all columns) and b0, b1, ...: the bin of each feature."""
     keep = df.columns if keep is None else keep
-    if cuts.size <= COMPILED:
+    if cuts.shape[1] <= COMPILED and cuts.size <= MOST_COMPILED:
         return df.select(*(F.col(c) for c in keep), *(bin_of(F.col(c).cast("double"), cuts[i].tolist()).alias(f"{prefix}{i}") for i, c in enumerate(features)))
     src = df.select(*(F.col(c) for c in keep), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(features)))
     n = len(keep)

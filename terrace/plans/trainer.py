@@ -19,6 +19,8 @@ from terrace.storage import staged, unstage, with_row_id
 
 DRIVER_CELLS = 1_000_000
 """Histogram cells (node, feature, bin) up to which a level's sums are searched on the driver; beyond, by the same search as a query."""
+COUNTED = 1 << 17
+"""Rows that a task counts at once."""
 TREES_A_TABLE = 5
 """Trees whose margins are added by one projection before the margins are written again: lineage and expressions stay short."""
 
@@ -48,11 +50,12 @@ class Trainer:
         """Rows with a null label are refused; features may be null or NaN (bin 0)."""
         p, t = self.p, time.perf_counter()
         rows = df.select(*(F.col(c).cast("double").alias(c) for c in self.features), F.col(self.label).cast("double").alias("_y"), *([F.col(self.row_id).alias("_row")] if self.row_id else []), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(self.order_by or [])))
-        if not self.row_id:
-            rows = with_row_id(rows, [f"_k{i}" for i in range(len(self.order_by or []))] or None, "_row")
         n, mean, nulls = rows.agg(F.count("*"), F.avg("_y"), F.count_if(F.col("_y").isNull())).first()
         if not n or nulls:
             raise ValueError("no rows to train on" if not n else f"{nulls} rows have no label")
+        if not self.row_id:  # positions cost a sort: only where something is chosen by them
+            placed = p.categorical or p.goss_top or p.subsample < 0.999 or n // max(p.bin_sample, 1) > 1
+            rows = with_row_id(rows, [f"_k{i}" for i in range(len(self.order_by or []))] or None, "_row") if placed else rows.withColumn("_row", F.lit(None).cast("long"))
         t = self._timed("load", t)
         encoder = None
         if p.categorical:
@@ -173,7 +176,7 @@ class Trainer:
         """
         p = self.p
         what = ["g", "h", *(["g2"] if squares else [])]
-        wide = len(self.features) * p.n_bins
+        nf, n_bins = len(self.features), p.n_bins
         scale = p.int_scale if p.int_hist else None
         objective = p.objective
         ready = splits is None
@@ -207,29 +210,38 @@ class Trainer:
             return node, [g, h, *([g * g] if squares else [])], b
 
         def count(batches):
-            sums = None
+            sums, held, size = np.zeros((len(what) + 1, nodes, nf, n_bins)), [], 0
             for batch in batches:
-                sums = np.zeros((len(what) + 1, nodes * wide)) if sums is None else sums
-                node, weights, b = prepared(batch)
-                node = node * wide
-                if scale:
-                    weights = [np.trunc(w * scale + np.copysign(0.5, w)) for w in weights[:2]] + weights[2:]
-                for f in kept:
-                    at = node + f * p.n_bins + b[f]
-                    for k, w in enumerate(weights):
-                        sums[k] += np.bincount(at, w, nodes * wide)
-                    sums[-1] += np.bincount(at, minlength=nodes * wide)
-            if sums is not None:
-                cell = np.flatnonzero(sums[-1])
+                held.append(prepared(batch))
+                size += batch.num_rows
+                if size >= COUNTED:
+                    add(sums, held)
+                    held, size = [], 0
+            if held:
+                add(sums, held)
+            sums = sums.reshape(len(sums), -1)
+            cell = np.flatnonzero(sums[-1])
+            if len(cell):
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(x[cell]) for x in sums)], names=["cell", *what, "n"])
 
+        def add(sums: np.ndarray, held: list) -> None:
+            """Each feature counts into its own nodes * n_bins cells."""
+            start = np.concatenate([x[0] for x in held]) * n_bins
+            weights = [np.concatenate(w) for w in zip(*(x[1] for x in held))]
+            if scale:
+                weights = [np.trunc(w * scale + np.copysign(0.5, w)) for w in weights[:2]] + weights[2:]
+            for f in kept:
+                at = start + np.concatenate([x[2][f] for x in held])
+                for k, w in enumerate([*weights, None]):
+                    sums[k, :, f] += np.bincount(at, w, nodes * n_bins).reshape(nodes, n_bins)
+
         kinds = "cell long, " + ", ".join(f"{c} double" for c in [*what, "n"])
         parts = rows.select(*columns).mapInArrow(count, kinds)
         table = parts.groupBy("cell").agg(*(F.sum(c).alias(c) for c in [*what, "n"])).toArrow()
         cell = table["cell"].to_numpy()
-        out = np.zeros((4, nodes * wide))
+        out = np.zeros((4, nodes * nf * n_bins))
         for i, c in enumerate(("g", "h", "n", "g2")[: 3 + squares]):
             out[i][cell] = table[c].to_numpy()
         if scale:
             out[:2] /= scale
-        return out.reshape(4, nodes, len(self.features), p.n_bins)
+        return out.reshape(4, nodes, nf, n_bins)
