@@ -185,8 +185,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return out
 
 
-def _crossing(posts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of posts (token, node, n, pos, odd, root) with a common token and different roots that may be at the similarity by places, sizes and parities; looked for in blocks of about BLOCK texts."""
+def _crossing(posts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of posts (token, node, n, pos, odd, root) with a common token and different roots that may be at the similarity by places, sizes and parities; looked for in blocks of about BLOCK texts; and the staged table that they come from."""
     w = Window.partitionBy("token")
     open_ = posts.withColumn("blocks", F.ceil(F.count("*").over(w) / BLOCK).cast("int")).withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo != hi")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -195,7 +195,7 @@ def _crossing(posts: DataFrame, similarity: float) -> DataFrame:
     dealt = staged(dealt, "neardup-open")
     met = dealt.join(dealt.withColumnRenamed("x", "y"), ["token", "i", "j"])
     met = met.where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & ((F.col("i") == F.col("j")) | (F.col("x.mine") != F.col("y.mine"))) & _enough(similarity, "x", "y") & _may_link(similarity, "x", "y"))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), dealt
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -250,11 +250,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     release(docs.sparkSession)
     links = _verified(star, classes, texts, shingle, similarity)
     roots = components(links)
-    posts = posts.select("token", "x.*").join(classes.select("node", "odd"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = staged(_crossing(posts, similarity).join(star, ["a", "b"], "left_anti"), "neardup-rest")
+    met, dealt = _crossing(posts.select("token", "x.*").join(classes.select("node", "odd"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), similarity)
+    rest = staged(met.join(star, ["a", "b"], "left_anti"), "neardup-rest")
+    for x in (posts, dealt, star):
+        unstage(x)
     release(docs.sparkSession)
     roots = components(links.union(_verified(rest, classes, texts, shingle, similarity)))
     keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
+    for x in (classes, rest, links):
+        unstage(x)
     row = docs.select(*key, F.struct(*docs.columns).alias("row"))
     kept = row.join(keeper, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))
     return kept.select("row.*")
