@@ -22,7 +22,7 @@ from terrace.llm.common import map_arrow, text_slices, without
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD_BYTES = 32 << 20
+WORD_BYTES = 96 << 20
 """Memory for the pre-tokens whose ids a worker remembers."""
 LEAF, SPREAD = 4096, 1 << 16
 """Code points of a leaf; a text of more than SPREAD has its leaves encoded in many tasks, a shorter one in its own. The ids are the same either way."""
@@ -53,22 +53,28 @@ class NewerText(Exception):
 
 
 class Words(dict):
-    """Ids of pre-tokens as bytes; each is encoded once by the library. Emptied when it takes about `most` bytes; those of over `longest` code points are never kept."""
+    """Ids of pre-tokens as bytes; each is encoded by the library when it's new. Two generations of `most` / 2 bytes: when one is full, it becomes the old one, and what is asked for again comes back from there. Those of over `longest` code points are never kept."""
 
     def __init__(self, encode: Callable[[str], list[int]], longest: int, most: int = WORD_BYTES):
         super().__init__()
         self.encode, self.longest, self.most, self.letters, self.used = encode, longest, most, byte_letters(), 0
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is not None:
+            return self.keep(word, ids)
         if not word.isascii() and newer().search(word):
             raise NewerText
         ids = array("I", self.encode(word.encode().decode("latin-1").translate(self.letters))).tobytes()
-        if len(word) <= self.longest:
-            self.used += 250 + 4 * len(word) + len(ids)
-            if self.used > self.most:
-                self.clear()
-                self.used = 0
-            self[word] = ids
+        return self.keep(word, ids) if len(word) <= self.longest else ids
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        self.used += 250 + 4 * len(word) + len(ids)
+        if 2 * self.used > self.most:
+            self.old, self.used = dict(self), 0
+            self.clear()
+        self[word] = ids
         return ids
 
 
