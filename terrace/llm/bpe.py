@@ -22,8 +22,8 @@ from terrace.llm.common import map_arrow, text_slices, without
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD_BYTES = 96 << 20
-"""Memory for the pre-tokens whose ids a worker remembers."""
+WORD_BYTES, ENTRY = 96 << 20, 64
+"""Memory for the pre-tokens whose ids a worker remembers; what a dict takes for an entry, besides its key and value."""
 LEAF, SPREAD = 4096, 1 << 16
 """Code points of a leaf; a text of more than SPREAD has its leaves encoded in many tasks, a shorter one in its own. The ids are the same either way."""
 REACH = 4
@@ -64,13 +64,17 @@ class Words(dict):
         ids = self.old.pop(word, None)
         if ids is not None:
             return self.keep(word, ids)
-        if not word.isascii() and newer().search(word):
+        if word.isascii():
+            spelled = word.replace(" ", self.letters[32]) if word.isprintable() else word.translate(self.letters)
+        elif newer().search(word):
             raise NewerText
-        ids = array("I", self.encode(word.encode().decode("latin-1").translate(self.letters))).tobytes()
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", self.encode(spelled)).tobytes()
         return self.keep(word, ids) if len(word) <= self.longest else ids
 
     def keep(self, word: str, ids: bytes) -> bytes:
-        self.used += 250 + 4 * len(word) + len(ids)
+        self.used += ENTRY + sys.getsizeof(word) + sys.getsizeof(ids)
         if 2 * self.used > self.most:
             self.old, self.used = dict(self), 0
             self.clear()
