@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -234,27 +233,25 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     return map_arrow(recipes.join(bodies, ["part", "nth"], "left").select("doc_id", "start", "n_tokens", "chunks"), "doc_id long, start long, n_tokens long, ids array<int>", make)
 
 
-@lru_cache(maxsize=MOST + 1)
-def _zeros(n: int) -> tuple[int, ...]:
-    """What n zero bytes do to the 32 bits of a crc32, as the images of the single bits."""
-
-    def times(m, v):
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[i]
-            v, i = v >> 1, i + 1
-        return out
-
-    op = tuple([0xEDB88320] + [1 << i for i in range(31)])  # one zero bit
-    op = tuple(times(op, v) for v in op)
-    op = tuple(times(op, v) for v in op)
-    op = tuple(times(op, v) for v in op)  # one zero byte
-    out = tuple(1 << i for i in range(32))
-    while n:
-        if n & 1:
-            out = tuple(times(op, v) for v in out)
-        op, n = tuple(times(op, v) for v in op), n >> 1
+def _moved(crc: np.ndarray, op: np.ndarray) -> np.ndarray:
+    """Each crc times a matrix over bits: op holds the images of the single bits."""
+    out = np.zeros_like(crc)
+    for bit in range(32):
+        out ^= np.where(crc >> np.uint32(bit) & np.uint32(1), op[bit], np.uint32(0))
+    return out
+
+
+def _zeros(lengths: np.ndarray) -> np.ndarray:
+    """What n zero bytes do to the 32 bits of a crc32, as the images of the single bits, for each n of lengths: (len(lengths), 32). All lengths take each power of 2 together."""
+    op = np.array([0xEDB88320] + [1 << i for i in range(31)], np.uint32)  # one zero bit
+    for _ in range(3):
+        op = _moved(op, op)  # one zero byte, after three squares
+    out = np.tile(np.uint32(1) << np.arange(32, dtype=np.uint32), (len(lengths), 1))
+    left = lengths.astype(np.int64)
+    while left.any():
+        odd = np.flatnonzero(left & 1)
+        out[odd] = _moved(out[odd], op)
+        op, left = _moved(op, op), left >> 1
     return out
 
 
@@ -264,7 +261,7 @@ def crc32_joined(crcs: np.ndarray, sizes: np.ndarray, begin: np.ndarray, end: np
     All groups take their next part together; the crc32 so far moves on by the part's size as by zero bytes.
     """
     lengths, which = np.unique(sizes, return_inverse=True)
-    moves = np.array([_zeros(int(n)) for n in lengths], np.uint32).reshape(len(lengths), 32)
+    moves = _zeros(lengths)
     out = np.zeros(len(begin), np.uint32)
     for step in range(int((end - begin).max(initial=0))):
         on = np.flatnonzero(begin + step < end)
