@@ -45,7 +45,8 @@ class TargetEncoder:
     def out_of_fold(df: DataFrame, features: list[str], y: str, folds: int = 5, smoothing: float = 10.0, buckets: int = 0, mean: float | None = None, row_id: str = "row_id") -> DataFrame:
         """df with each training row's features encoded from the other folds; a category that only its own fold has gets the global mean.
 
-        Statistics are aggregated by (category, fold) and joined back, so a hot category's rows are never brought together.
+        Statistics are aggregated by (category, fold) and joined back. Spark broadcasts them where they are small enough; beyond that the join shuffles rows by category and fold,
+        and a hot category's rows come together unless adaptive execution splits them.
         """
         folds = max(folds, 2)
         mean = df.agg(F.avg(F.col(y).cast("double"))).first()[0] if mean is None else mean

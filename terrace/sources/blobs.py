@@ -28,7 +28,7 @@ def read_meta(spark: SparkSession, path: str) -> dict:
 
 
 def read_blob(spark: SparkSession, path: str, width: int, names: list[str]) -> DataFrame:
-    """row_id and `width` float columns of a row-major blob, read as fixed-length records, so a large file is split among tasks."""
+    """row_id and `width` float columns of a row-major blob. A file is one row of one task, held whole there (2 GB at most) and cut into slices: larger data belongs in Parquet."""
     records = spark.read.format("binaryFile").load(path)
 
     def run(batches):
