@@ -255,8 +255,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     for x in (posts, dealt, star):
         unstage(x)
     release(docs.sparkSession)
-    roots = components(links.union(_verified(rest, classes, texts, shingle, similarity)))
-    keeper = staged(classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"of_{n}"))
+    between = _verified(rest, classes, texts, shingle, similarity).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("first"), F.col("root").alias("joined"))  # only components found first are nodes now
+    grouped = classes.join(roots, "node", "left").withColumn("first", F.coalesce("root", "node")).join(joined, "first", "left")
+    keeper = staged(grouped.groupBy(F.coalesce("joined", "first").alias("root")).agg(F.min("least").alias("least")).select("least.id", "least.th"), "neardup-keepers")
     for x in (classes, rest, links):
         unstage(x)
     row = docs.select(*key, F.struct(*docs.columns).alias("row"))
