@@ -91,3 +91,17 @@ def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = sorted(tuple(r) for r in op7_simhash(spark, sf_dir).collect())
     assert got == brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in docs])
+
+
+def test_components_shapes(spark):
+    """Nothing, stars (which need no step), two stars that share a leaf, a path, a ring, a bridge between components, loops and repeated edges in both directions: node by node as by following links."""
+    path, ring = [(i, i + 1) for i in range(20, 33)], [(40 + i, 40 + (i + 1) % 7) for i in range(7)]
+    cases = [[], [(1, 2), (1, 3), (1, 4), (9, 10)], [(1, 5), (2, 5), (2, 6)], path + ring, [*path, *ring, (46, 26), (3, 3), (33, 20), (33, 20), (20, 33)], [(7, 1), (7, 2), (7, 3), (-5, 7)]]
+    for edges in cases:
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(found) == len(root) and {r["node"]: r["root"] for r in found} == root
