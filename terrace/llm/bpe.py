@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from terrace.llm.common import map_arrow, text_slices, without
+from terrace.llm.common import held, map_arrow, text_slices, without
 
 # The pattern of byte-level splitting, and Unicode's white space as the tokenizers library reads \\s.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -293,7 +293,7 @@ class TreeEncoder:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=1)
+@held
 def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return TreeEncoder(path, leaf)

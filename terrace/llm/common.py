@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,26 +15,60 @@ from pyspark.sql.types import StructType
 
 from terrace.storage import shared_dir, staged, unstage
 
-__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "text_slices", "unstage", "without", "word_count"]
+__all__ = ["WHITE", "bucket_offsets", "components", "hash_bucket", "held", "map_arrow", "power_of_two", "release", "shared_dir", "slices", "staged", "text_slices", "unstage", "without", "word_count"]
 
 WHITE = "\\x20\\x09-\\x0D"
 """White space of all word rules here, for use within a regular expression's class."""
 
 
+HELD, USED = [], set()
+"""Caches of this process, and those that its present task has used."""
+
+
+def held(f: Callable) -> Callable:
+    """f with its last result kept from task to task, until a task of map_arrow ends that hasn't asked for it: a worker outlives the operator that filled it, beside an executor that needs the memory."""
+    cached = lru_cache(maxsize=1)(f)
+    HELD.append(cached)
+
+    @wraps(f)
+    def call(*args, **kwargs):
+        USED.add(cached)
+        return cached(*args, **kwargs)
+
+    call.cache_info, call.cache_clear = cached.cache_info, cached.cache_clear
+    return call
+
+
+def let_go() -> None:
+    """A task's end: drop what it hasn't used, and give free memory back to the system, as the worker may now be idle for long."""
+    for cached in HELD:
+        if cached not in USED:
+            cached.cache_clear()
+    USED.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]]) -> DataFrame:
     """mapInArrow with a function that is made once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            f = f or make()
-            out = f(b)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        f = b = out = None
+        try:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                f = f or make()
+                out = f(b)
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
+        finally:
+            f = b = out = None
+            let_go()
 
     return df.mapInArrow(run, schema)
 

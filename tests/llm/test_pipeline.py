@@ -221,3 +221,31 @@ def test_run_against_brute_force(spark, tmp_path):
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
     assert sum(r.ids_sha256 == whole[r.doc_id] for r in rows) > len(rows) / 2
     assert 95 not in {r.doc_id for r in rows} and n - 1 not in {r.doc_id for r in rows}
+
+
+def test_a_worker_lets_go_of_what_the_next_operator_does_not_use():
+    """Tasks of two operators in one process, as in a worker that executors use again: the tokenizer and its words stay from task to task of one operator and go with the first task of another."""
+    import pyarrow as pa
+
+    from terrace.llm import bpe
+    from terrace.llm.common import map_arrow
+    from terrace.llm.queries import tokenizer_path
+
+    class Tasks:
+        def mapInArrow(self, run, schema):
+            return lambda: list(run(iter([pa.RecordBatch.from_pydict({"x": ["a b"]})])))
+
+    path = tokenizer_path("word_bpe_49k.json")
+
+    def encoding():
+        enc = bpe.encoder(path)
+        return lambda b: pa.RecordBatch.from_pydict({"x": [enc.encode_bytes(t) for t in b.column(0).to_pylist()]})
+
+    encode, other = map_arrow(Tasks(), "x binary", encoding), map_arrow(Tasks(), "x string", lambda: lambda b: b)
+    assert encode()[0].num_rows == 1
+    first = bpe.encoder(path)
+    encode()
+    assert bpe.encoder(path) is first
+    other()  # it may end a task that has asked for it here
+    other()
+    assert bpe.encoder.cache_info().currsize == 0
