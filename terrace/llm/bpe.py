@@ -59,6 +59,7 @@ class Words(dict):
         super().__init__()
         self.encode, self.longest, self.most, self.letters, self.used = encode, longest, most, byte_letters(), 0
         self.old: dict[str, bytes] = {}
+        self.single: dict[int, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.pop(word, None)
@@ -70,7 +71,11 @@ class Words(dict):
             raise NewerText
         else:
             spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = array("I", self.encode(spelled)).tobytes()
+        found = self.encode(spelled)
+        if len(found) == 1:  # one object for all pre-tokens that are this token
+            ids = self.single.get(found[0]) or self.single.setdefault(found[0], array("I", found).tobytes())
+        else:
+            ids = array("I", found).tobytes()
         return self.keep(word, ids) if len(word) <= self.longest else ids
 
     def keep(self, word: str, ids: bytes) -> bytes:
@@ -144,7 +149,7 @@ class TreeEncoder:
     the right side's own. A token sequence is the BPE encoding if and only if each two neighbours are, so agreement is exact.
     """
 
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, most: int = WORD_BYTES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -159,7 +164,7 @@ class TreeEncoder:
         self.long = re.compile(r"\S{%d}" % (leaf + 1))
         self.path, self.name, self.pattern = path, self.tok.id_to_token, splitting_pattern(spec)
         model = self.tok.model
-        self.words = Words(lambda w: self.tree(w) if len(w) > self.leaf else [t.id for t in model.tokenize(w)], leaf)
+        self.words = Words(lambda w: self.tree(w) if len(w) > self.leaf else [t.id for t in model.tokenize(w)], leaf, most)
 
     @cached_property
     def plain(self) -> tuple:
@@ -294,9 +299,9 @@ class TreeEncoder:
 
 
 @held
-def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
+def encoder(path: str, leaf: int = LEAF, most: int = WORD_BYTES) -> TreeEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return TreeEncoder(path, leaf)
+    return TreeEncoder(path, leaf, most)
 
 
 BATCH_CHARS = 1 << 20

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.bpe import encoder
-from terrace.llm.common import bucket_offsets, map_arrow, text_slices
+from terrace.llm.bpe import SPREAD, encoder
+from terrace.llm.common import bucket_offsets, map_arrow, slices, text_slices
 from terrace.storage import with_row_id
 
 WINDOW, LEAST, CUT_BITS, MOST = 8, 64, 8, 2048
@@ -24,6 +24,8 @@ FAN = 1024
 """Documents of a part, and children of a node of the manifest's tree, at most."""
 SEEN = 1 << 18
 """Digests that a task remembers, so as not to send a chunk again."""
+STORE_WORDS = 192 << 20
+"""Memory for the pre-tokens whose ids a worker remembers: one that is encoded again takes many times as long as one that is found."""
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
     """Rows of two kinds: chunk (key: SHA-256 of body; body: n ids, 2 bytes each) and recipe (key: unlike any other; body: key and count of each chunk in order; n ids; root)."""
 
     def make():
-        enc, end = encoder(path), end_id.to_bytes(4, "little")
+        enc, end = encoder(path, SPREAD, STORE_WORDS), end_id.to_bytes(4, "little")  # a text of up to SPREAD goes without leaves and their joins
         seen: set[bytes] = set()
 
         def f(b: pa.RecordBatch):
@@ -284,12 +286,15 @@ def digests(spark: SparkSession, out: str) -> DataFrame:
 
     def check():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            keys, crc, n = b.column(0).to_pylist(), [], []
-            for key, body in zip(keys, b.column(1).to_pylist()):
-                if hashlib.sha256(body).digest() != key:
-                    raise ValueError("a chunk doesn't match its key")
-                crc.append(zlib.crc32(np.frombuffer(body, "<u2").astype("<u4").tobytes()))
-                n.append(len(body) // 2)
+            keys, bodies = b.column(0).to_pylist(), b.column(1).to_pylist()
+            if any(hashlib.sha256(body).digest() != key for key, body in zip(keys, bodies)):
+                raise ValueError("a chunk doesn't match its key")
+            crc, n = [], [len(body) // 2 for body in bodies]
+            for lo, hi in slices([len(body) for body in bodies], BATCH_CHARS):
+                wide, at = memoryview(np.frombuffer(b"".join(bodies[lo:hi]), "<u2").astype("<u4").tobytes()), 0
+                for m in n[lo:hi]:
+                    crc.append(zlib.crc32(wide[at : at + 4 * m]))
+                    at += 4 * m
             return pa.RecordBatch.from_arrays([b.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int32())], names=["key", "crc", "len"])
 
         return f

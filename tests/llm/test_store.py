@@ -154,3 +154,34 @@ def test_query(spark, sf_dir):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     assert sorted(tuple(r) for r in op5_store(spark, sf_dir).collect()) == [w[:4] for w in expected(rows)]
     assert encoder(tokenizer_path(BYTE)).pattern is not None
+
+
+def test_a_text_is_encoded_without_leaves_up_to_the_spread(spark, monkeypatch):
+    """Joins cost a tenth of the encoding; longer texts still have leaves, and ids and digests are the library's."""
+    import pyarrow as pa
+
+    from terrace.llm import bpe
+
+    class Task:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return lambda texts: list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "rid": list(range(len(texts))), "text": texts})])))
+
+    made = []
+    monkeypatch.setattr(store, "encoder", lambda *a: made.append(bpe.encoder(*a)) or made[-1])
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "Straße", "tion", "12", "!!"]) for _ in range(n)) for n in (3, 4000, 11_000, 30_000)]
+    encode = store.chunked(Task(), tokenizer_path(BYTE), 0, "id", "text")
+    for part in (texts[:3], texts):
+        before = made[-1].joins if made else 0
+        found, bodies = {}, {}
+        for b in encode(part):
+            for r in b.to_pylist():
+                if r["kind"] == "chunk":
+                    bodies[r["key"]] = r["body"]
+                else:
+                    found[r["doc_id"]] = [x for i in range(0, len(r["body"]), 36) for x in np.frombuffer(bodies[r["body"][i : i + 32]], "<u2").tolist()]
+        assert found == {w[0]: w[4] for w in expected(enumerate(part))}
+        assert (made[-1].joins - before > 0) == (len(part) > 3)
