@@ -24,17 +24,18 @@ FAN = 1024
 """Documents of a part, and children of a node of the manifest's tree, at most."""
 SEEN = 1 << 18
 """Digests that a task remembers, so as not to send a chunk again."""
-STORE_WORDS = 192 << 20
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
+"""Keys and bodies are all different, so a dictionary of them is never kept."""
+STORE_WORDS = 256 << 20
 """Memory for the pre-tokens whose ids a worker remembers: one that is encoded again takes many times as long as one that is found."""
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """Places (ends) whose last WINDOW ids hash to a cut, over a whole array of streams: a stream's first LEAST ids are never looked at, so its neighbours don't matter."""
-    x = MIXED[ids]
-    m = max(0, len(ids) - WINDOW + 1)
-    h = np.zeros(m, np.uint32)
-    for j in range(WINDOW):
-        h += x[j : m + j] * ROLL[WINDOW - 1 - j]
+    h, n = MIXED[ids], 1
+    while n < WINDOW and len(h):  # from windows of n ids to those of 2n: the sum of all by falling powers stays the same
+        h = h[:-n] * ROLL[n] + h[n:]
+        n *= 2
     return np.flatnonzero(h < np.uint32(1 << (32 - CUT_BITS))) + WINDOW
 
 
@@ -122,7 +123,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, id_col: str = "
     """
     spark = docs.sparkSession
     rows = chunked(docs, path, end_id, id_col, text_col)
-    rows.repartition("key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/stage")
+    rows.repartition("key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").options(**PLAIN).parquet(f"{out}/stage")
     staged = spark.read.schema("key binary, body binary, n long, doc_id long, root binary, kind string").parquet(f"{out}/stage")
     recipes = with_row_id(staged.where("kind = 'recipe'").drop("kind"), ["doc_id", "root", "key"], "at")
     recipes = recipes.withColumn("part", F.expr(f"at div {FAN}")).withColumn("nth", F.col("at") % FAN)

@@ -185,3 +185,10 @@ def test_a_text_is_encoded_without_leaves_up_to_the_spread(spark, monkeypatch):
                     found[r["doc_id"]] = [x for i in range(0, len(r["body"]), 36) for x in np.frombuffer(bodies[r["body"][i : i + 32]], "<u2").tolist()]
         assert found == {w[0]: w[4] for w in expected(enumerate(part))}
         assert (made[-1].joins - before > 0) == (len(part) > 3)
+
+
+def test_rolling_hash_is_the_sum_over_each_window():
+    ids = np.random.default_rng(5).integers(0, 50_000, 5000).astype(np.uint32)
+    for n in (0, 1, 7, 8, 9, 5000):
+        sums = [sum(int(store.MIXED[x]) * int(store.ROLL[store.WINDOW - 1 - j]) for j, x in enumerate(ids[i : i + store.WINDOW])) % 2**32 for i in range(n - store.WINDOW + 1)]
+        assert store.rolling(ids[:n]).tolist() == [i + store.WINDOW for i, h in enumerate(sums) if h < 1 << (32 - store.CUT_BITS)]
